@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import ann, mixing, sharding, simhash, token_file
+from corpuslab.llm import ann, bpe, mixing, quality_gam, quality_rules, sharding, simhash, token_file
 from corpuslab.llm.common import table
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    tokenizer = bpe.Tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer)
+    decoded = F.sha2(tokenizer.decoded(F.col("ids")), 256)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("ids_text", 256).alias("ids_sha256"), decoded.alias("decoded_sha256"))
+
+
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -24,6 +33,16 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.judge(docs, docs, table(spark, sf_dir, "labels"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_gam.classify(docs, docs, table(spark, sf_dir, "labels"))
+
+
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -33,6 +52,6 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_ids, op3_mixing, op4_sharding, op8_nearest, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_token_ids, op3_mixing, op4_sharding, op6_quality_rules, op7_quality_classifier, op8_nearest, op9_simhash)}
 
 ORACLES: dict[str, str] = {}
