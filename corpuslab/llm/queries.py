@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import ann, bpe, mixing, quality_gam, quality_rules, sharding, simhash, token_file
+from corpuslab.llm import ann, bpe, html_extract, mixing, quality_gam, quality_rules, sharding, simhash, token_file
 from corpuslab.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_token_ids, op3_mixing, op4_sharding, op6_quality_rules, op7_quality_classifier, op8_nearest, op9_simhash)}
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_token_ids, op3_mixing, op4_sharding, op6_quality_rules, op7_quality_classifier, op8_nearest, op9_simhash, op10_html)}
 
 ORACLES: dict[str, str] = {}
