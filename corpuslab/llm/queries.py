@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import ann, bpe, html_extract, mixing, quality_gam, quality_rules, sharding, simhash, token_file
+from corpuslab.llm import ann, bpe, html_extract, licenses, mixing, quality_gam, quality_rules, sharding, simhash, token_file
 from corpuslab.llm.common import table
 
 
@@ -33,6 +33,13 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    # The tables have no paths: a document's stands below its source and language.
+    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
+    return licenses.scan(docs, path)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_rules.judge(docs, docs, table(spark, sf_dir, "labels"))
@@ -56,6 +63,6 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_token_ids, op3_mixing, op4_sharding, op6_quality_rules, op7_quality_classifier, op8_nearest, op9_simhash, op10_html)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_token_ids, op3_mixing, op4_sharding, op5_licenses, op6_quality_rules, op7_quality_classifier, op8_nearest, op9_simhash, op10_html)}
 
 ORACLES: dict[str, str] = {}
