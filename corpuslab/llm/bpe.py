@@ -3,7 +3,8 @@
 Text is split by the tokenizer's pattern into words. A word's bytes are merged by a fold: each step looks up the ranks of
 all adjacent pairs in a literal rank map and joins the first pair of the least rank, until no pair has a rank; a word
 that is in the vocabulary as a whole is its own token. The map is an array of small maps, picked by the hash of the
-joined piece, since a lookup in one of Spark's maps walks through it.
+joined piece, since a lookup in one of Spark's maps walks through it. The ranks of the pairs are kept beside the pieces, so a
+merge looks up only the two pairs that it changes.
 
 Distinct words are folded once: the words of a bounded sample of documents make a literal table of words and their
 ids, of at most WORDS entries. Any other word is folded where it stands. So the sample decides how
@@ -28,10 +29,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Documents whose words are folded ahead, at most on average, and most of their words that are kept.
-SAMPLE_DOCS = 30000
-WORDS = 500_000
-RANK_BUCKETS = 16384
-WORD_BUCKETS = 1 << 17
+SAMPLE_DOCS = 20000
+WORDS = 300_000
+BUCKETS = 1 << 16
 
 #: Unicode white space; Java's \s is ASCII only.
 SPACE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -53,8 +53,20 @@ def read_ranks(path: str) -> list[bytes]:
     return [p for _, p in ranks]
 
 
-def hash_bucket(piece: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(piece), F.lit(buckets)).cast("int")
+def lookup(maps: Column, key: Column) -> Column:
+    """The value of a key in a literal made by hashed_maps; null without one."""
+    return F.try_element_at(F.get(maps, F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")), key)
+
+
+def hashed_maps(items) -> str:
+    """JSON of an array of maps: each item is in the map that the hash of its key picks. Values are JSON themselves."""
+    import xxhash
+
+    buckets: list[list[str]] = [[] for _ in range(BUCKETS)]
+    for key, value in items:
+        h = xxhash.xxh64_intdigest(key.encode(), 42)
+        buckets[(h - (1 << 64) if h >> 63 else h) % BUCKETS].append(f"{json.dumps(key)}:{value}")
+    return "[" + ",".join("{" + ",".join(b) + "}" if b else "null" for b in buckets) + "]"
 
 
 def literal(value: str, schema: str) -> Column:
@@ -66,14 +78,8 @@ class Tokenizer:
     """Columns for encoding and decoding with one rank file."""
 
     def __init__(self, path: str, pattern: str):
-        import xxhash
-
         self.pieces, self.pattern = read_ranks(path), java_pattern(pattern)
-        maps: list[dict[str, int]] = [{} for _ in range(RANK_BUCKETS)]
-        for rank, piece in enumerate(self.pieces):
-            text = piece.hex().upper()
-            maps[_signed(xxhash.xxh64_intdigest(text.encode(), 42)) % RANK_BUCKETS][text] = rank
-        self._maps = json.dumps(maps)
+        self._maps = hashed_maps((p.hex().upper(), rank) for rank, p in enumerate(self.pieces))
         self._hex = json.dumps([p.hex().upper() for p in self.pieces])
 
     def words(self, text: Column) -> Column:
@@ -85,33 +91,39 @@ class Tokenizer:
 
     def fold(self, word: Column, maps: Column) -> Column:
         """The ids of a word, joined by spaces. maps: the literal, bound once for all lookups."""
-        whole = F.hex(F.encode(word, "UTF-8"))
+        none = F.array().cast("array<int>")
 
-        def rank(piece: Column) -> Column:
-            return bind(piece, lambda p: F.try_element_at(F.get(maps, hash_bucket(p, RANK_BUCKETS)), p))
+        def rank(left: Column, right: Column) -> Column:
+            return bind(F.concat(left, right), lambda p: lookup(maps, p))
 
-        def ranks(p: Column) -> Column:
-            return F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: rank(F.concat(F.element_at(p, i), F.element_at(p, i + 1))))
+        def merge(p: Column, r: Column, i: Column) -> Column:
+            """Joins pieces i and i + 1. r[j] is the rank of the pair (j, j + 1)."""
+            joined = F.concat(F.element_at(p, i), F.element_at(p, i + 1))
 
-        def join_at(p: Column, found: Column) -> Column:
-            at = F.array_position(found, F.array_min(found)).cast("int")
-            return bind(at, lambda i: F.concat(F.slice(p, F.lit(1), i - 1), F.array(F.concat(F.element_at(p, i), F.element_at(p, i + 1))), F.slice(p, i + 2, F.size(p))))
+            def rest(x: Column) -> Column:
+                before = F.when(i > 1, F.array(rank(F.element_at(p, i - 1), x))).otherwise(none)
+                after = F.when(i + 1 < F.size(p), F.array(rank(x, F.element_at(p, i + 2)))).otherwise(none)
+                pieces = F.concat(F.slice(p, F.lit(1), i - 1), F.array(x), F.slice(p, i + 2, F.size(p)))
+                ranks = F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), before, after, F.slice(r, i + 2, F.size(p)))
+                return F.struct(pieces.alias("p"), ranks.alias("r"))
 
-        def merge(p: Column) -> Column:
-            """The pieces after one merge; null when no pair has a rank."""
-            return F.when(F.size(p) > 1, bind(ranks(p), lambda found: F.when(F.array_min(found).isNotNull(), join_at(p, found))))
+            return bind(joined, rest)
 
         def step(state: Column, _: Column) -> Column:
-            again = bind(merge(state["p"]), lambda m: F.struct(F.coalesce(m, state["p"]).alias("p"), m.isNull().alias("done")))
-            return F.when(state["done"], state).otherwise(again)
+            least = F.array_min(state["r"])
+            return bind(F.array_position(state["r"], least).cast("int"), lambda i: F.when(i > 0, merge(state["p"], state["r"], i)).otherwise(state))
+
+        def folded(p: Column) -> Column:
+            pairs = F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda x, j: rank(x, F.element_at(p, j + 2)))
+            start = F.struct(p.alias("p"), F.when(F.size(p) > 1, pairs).otherwise(none).alias("r"))
+            ids = lambda s: F.array_join(F.transform(s["p"], lambda x: lookup(maps, x).cast("string")), " ")
+            return F.aggregate(F.slice(p, F.lit(1), F.size(p) - 1), start, step, ids)
 
-        def folded(parts: Column) -> Column:
-            start = F.struct(parts.alias("p"), F.lit(False).alias("done"))
-            ids = lambda s: F.array_join(F.transform(s["p"], lambda x: rank(x).cast("string")), " ")
-            return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), start, step, ids)
+        def of_hex(whole: Column) -> Column:
+            pieces = F.transform(F.sequence(F.lit(1), F.length(whole), F.lit(2)), lambda i: F.substring(whole, i, F.lit(2)))
+            return F.coalesce(lookup(maps, whole).cast("string"), bind(pieces, folded))
 
-        pieces = F.regexp_extract_all(whole, F.lit(".."), F.lit(0))
-        return F.coalesce(rank(whole).cast("string"), bind(pieces, folded))
+        return bind(F.hex(F.encode(word, "UTF-8")), of_hex)
 
     def decoded(self, ids: Column) -> Column:
         """The bytes of ids."""
@@ -124,45 +136,22 @@ def bind(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-def common_words(docs: DataFrame, tokenizer: Tokenizer, sample_docs: int = SAMPLE_DOCS, limit: int = WORDS) -> list:
+def common_words(docs: DataFrame, tokenizer: Tokenizer, sample_docs: int = SAMPLE_DOCS, limit: int = WORDS):
     """(word, ids) of the most frequent words of a sample of documents: at most `limit` rows."""
     n = docs.select(F.lit(1)).count()
     share = min(1.0, sample_docs / max(n, 1))
     rows = docs.select(F.col("doc_id"), F.col("text")).where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20)))
     words = rows.select(F.explode(tokenizer.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     top = words.orderBy(F.desc("n"), "word").limit(limit)
-    return top.repartition("word").select("word", bind(tokenizer.maps(), lambda m: tokenizer.fold(F.col("word"), m)).alias("ids")).collect()
+    found = top.repartition("word").select("word", bind(tokenizer.maps(), lambda m: tokenizer.fold(F.col("word"), m)).alias("ids")).toArrow().to_pydict()
+    return zip(found["word"], found["ids"])
 
 
 def encode(docs: DataFrame, tokenizer: Tokenizer, sample_docs: int = SAMPLE_DOCS, limit: int = WORDS) -> DataFrame:
     """docs with ids_text, the ids of the whole text joined by spaces, and ids, the same as an array."""
-    import xxhash
-
-    # A bucket is one string, "\x01word\x02ids\x01word\x02ids\x01", so the table is an array of plain strings. A word that
-    # holds one of those two characters is left out and folded where it stands.
-    buckets: list[list[str]] = [[] for _ in range(WORD_BUCKETS)]
-    for word, ids in common_words(docs, tokenizer, sample_docs, limit):
-        if "\x01" not in word and "\x02" not in word:
-            buckets[_signed(xxhash.xxh64_intdigest(word.encode(), 42)) % WORD_BUCKETS].append(f"\x01{word}\x02{ids}")
-    table = literal(json.dumps(["".join(b) + "\x01" if b else "" for b in buckets], ensure_ascii=False), "array<string>")
-    index = F.call_function
-
-    def ids_of(word: Column, known: Column, maps: Column) -> Column:
-        key = F.concat(F.lit("\x01"), word, F.lit("\x02"))
-
-        def find(x: Column) -> Column:
-            rest = index("substring_index", x["row"], x["key"], F.lit(-1))
-            return F.when(F.contains(x["row"], x["key"]), F.substring_index(rest, "\x01", 1))
-
-        hit = bind(F.struct(F.get(known, hash_bucket(word, WORD_BUCKETS)).alias("row"), key.alias("key")), find)
-        return F.coalesce(hit, tokenizer.fold(word, maps))
-
+    known = hashed_maps((word, f'"{ids}"') for word, ids in common_words(docs, tokenizer, sample_docs, limit))
+    literals = F.struct(literal(known, "array<map<string,string>>").alias("known"), tokenizer.maps().alias("maps"))
     words = tokenizer.words(F.col("text"))
-    literals = F.struct(table.alias("known"), tokenizer.maps().alias("maps"))
-    text = bind(literals, lambda t: F.array_join(F.transform(words, lambda w: ids_of(w, t["known"], t["maps"])), " "))
+    text = bind(literals, lambda t: F.array_join(F.transform(words, lambda w: F.coalesce(lookup(t["known"], w), tokenizer.fold(w, t["maps"]))), " "))
     out = docs.withColumn("ids_text", text)
     return out.withColumn("ids", F.when(F.col("ids_text") == "", F.array().cast("array<int>")).otherwise(F.split("ids_text", " ").cast("array<int>")))
