@@ -27,13 +27,13 @@ def flatten(raw: DataFrame) -> DataFrame:
         v = F.coalesce(F.col(f"test.{name}"), F.col(f"val.{name}")) if name != "n" else F.coalesce("test.n", "val.n")
         return F.nanvl(v, F.lit(None).cast("double")).alias(name) if name != "n" else v.alias("n_eval")
 
-    flat = raw.where(F.col("run_id").isNotNull()).select(
+    flat = raw.select(
         "run_id", F.coalesce("config.arm", "arm").alias("arm"), F.col("config.mix_kind").alias("mix_kind"), F.col("config.synthetic_fraction").alias("frac"),
         F.col("config.real_budget_fraction").alias("budget"), F.col("config.synthetic_multiplier").alias("k"), F.col("config.generator").alias("generator"), F.col("config.arch").alias("arch"),
         F.col("config.init").alias("init"), F.col("config.seed").alias("seed"), F.col("train_summary.n").alias("n_train"), F.when(F.col("test").isNotNull(), "test").otherwise("val").alias("split"),
         *[metric(m) for m in ("balanced_accuracy", "accuracy", "macro_f1", "mae", "qwk", "ece", "n")], "path",
     )
-    return flat.withColumn("__rn", F.row_number().over(W.partitionBy("run_id").orderBy("path"))).where("__rn = 1").drop("__rn")
+    return flat.withColumn("__rn", F.row_number().over(W.partitionBy("run_id").orderBy("path"))).where("__rn = 1 AND run_id IS NOT NULL").drop("__rn")
 
 
 def expand_shared(runs: DataFrame, shared: str = "none") -> DataFrame:

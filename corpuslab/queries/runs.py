@@ -104,7 +104,7 @@ def _(spark, sf):
     even = F.col("user_id") % 2 == 0
     js = F.to_json(F.struct(F.concat(F.lit("run_"), F.col("user_id")).alias("run_id"), F.when(even, block).alias("test"), F.when(~even, block).alias("val")))
     # Every record is there twice, under two paths; the first counts.
-    text = cut(e.select(js.alias("js"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("path")), "run_records")
+    text = cut(e.select(js.alias("js")), "run_records").select("js", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("path"))
     twice = text.select(F.from_json("js", R.RUN).alias("r"), "path").select("r.*", "path")
     return R.flatten(twice).select("run_id", F.round("balanced_accuracy", 9).alias("balanced_accuracy"), "split")
 
