@@ -60,3 +60,12 @@ def toy_latents(spark: SparkSession, per_class: int, seed: int = 0, gap: float =
     value = F.col("lo") + (F.col("hi") - F.col("lo")) * uniform(seed, F.col("label"), F.col("i"))
     mean = sum(p * (lo + hi) / 2 for p, (lo, hi) in zip(PRIOR, BINS))
     return df.select("label", "i", (value * (1 - gap) + mean * gap).alias("lesions"))
+
+
+def filled(df: DataFrame, template: str, tokens: dict[str, list[str]], out: str = "prompt") -> DataFrame:
+    """Adds the template with each {axis} replaced by the token that the axis column picks from a list."""
+    text = F.lit(template)
+    for axis, names in tokens.items():
+        token = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col(axis) + 1).cast("int"))
+        text = F.replace(text, F.lit(f"{{{axis}}}"), token)
+    return df.withColumn(out, text)

@@ -189,3 +189,9 @@ def _(spark, sf):
 @query("src19_toy_latents", "SELECT label, i, round(lo + (hi - lo) * u, 6) AS lesions FROM (SELECT label::INT AS label, i, lo, hi, concat('0x', substr(md5(concat_ws('|', 3, label, i)), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM (VALUES (0, 0, 5), (1, 6, 20), (2, 21, 50), (3, 51, 80)) d(label, lo, hi), range(30) r(i))")
 def _(spark, sf):
     return P.toy_latents(spark, 30, seed=3).select("label", "i", F.round("lesions", 6).alias("lesions"))
+
+
+@query("fn19_prompt_template", "SELECT i, concat('a ', ['mild', 'moderate', 'severe'][(i % 3 + 1)::INT], ' case, ', ['fair', 'dark'][(i % 2 + 1)::INT], ' skin') AS prompt FROM range(50) r(i)")
+def _(spark, sf):
+    r = spark.range(50).withColumnRenamed("id", "i").withColumn("grade", F.col("i") % 3).withColumn("tone", F.col("i") % 2)
+    return P.filled(r, "a {grade} case, {tone} skin", {"grade": ["mild", "moderate", "severe"], "tone": ["fair", "dark"]}).select("i", "prompt")

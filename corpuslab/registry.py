@@ -25,7 +25,7 @@ def query(name: str, oracle: str | None = None):
 def load() -> None:
     import importlib
 
-    for name in ("corpora", "similarity", "splits", "evaluation", "runs", "audits", "tone", "sources"):
+    for name in ("corpora", "similarity", "splits", "evaluation", "runs", "audits", "tone", "sources", "heads"):
         importlib.import_module(f"corpuslab.queries.{name}")
 
 
