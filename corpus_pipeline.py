@@ -39,7 +39,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, ids, and whether decoding them gives the text's bytes again: a row for each document taken."""
     tokenizer = bpe.Tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    coded = bpe.encode(docs.select("doc_id", "source", "text"), tokenizer)
+    # A smaller table of words than the operator's own default: the driver also holds what the stages before have left.
+    coded = bpe.encode(docs.select("doc_id", "source", "text"), tokenizer, sample_docs=15_000, limit=150_000)
     same = tokenizer.decoded(F.col("ids")) == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
