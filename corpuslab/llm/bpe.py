@@ -17,7 +17,7 @@ Bytes are written as two hex digits within the fold, so pieces are strings and j
 Edge cases: a null text counts as empty and has no tokens; letters, numbers and white space are told apart by Unicode's
 properties as the Java runtime knows them; a word of n bytes takes a fold of up to n steps over n
 pairs, so cost grows with the square of a word's length; an empty table gives an empty result; repeated rows are
-encoded alike; other columns are kept by `encode`, of which `ids` and `ids_text` are replaced.
+encoded alike; other columns are kept, of which `ids` and `ids_text` are replaced.
 """
 
 from __future__ import annotations
@@ -28,9 +28,12 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslab.plans.scratch import cut
+
 #: Documents whose words are folded ahead, at most on average, and most of their words that are kept.
-SAMPLE_DOCS = 20000
-WORDS = 300_000
+SAMPLE_DOCS = 40000
+WORDS = 600_000
+#: Maps in a literal, a power of two.
 BUCKETS = 1 << 16
 
 #: Unicode white space; Java's \s is ASCII only.
@@ -55,7 +58,7 @@ def read_ranks(path: str) -> list[bytes]:
 
 def lookup(maps: Column, key: Column) -> Column:
     """The value of a key in a literal made by hashed_maps; null without one."""
-    return F.try_element_at(F.get(maps, F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")), key)
+    return F.try_element_at(F.get(maps, F.xxhash64(key).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), key)
 
 
 def hashed_maps(items) -> str:
@@ -136,22 +139,30 @@ def bind(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def common_words(docs: DataFrame, tokenizer: Tokenizer, sample_docs: int = SAMPLE_DOCS, limit: int = WORDS):
-    """(word, ids) of the most frequent words of a sample of documents: at most `limit` rows."""
+def common_words(docs: DataFrame, tokenizer: Tokenizer, sample_docs: int = SAMPLE_DOCS, limit: int = WORDS) -> Column:
+    """The most frequent words of a sample of documents, at most `limit`, with their ids: one value, an array of maps as hashed_maps
+    makes them. Spark computes it once and puts it into the plan, so it never passes through Python."""
     n = docs.select(F.lit(1)).count()
     share = min(1.0, sample_docs / max(n, 1))
     rows = docs.select(F.col("doc_id"), F.col("text")).where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20)))
     words = rows.select(F.explode(tokenizer.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    top = words.orderBy(F.desc("n"), "word").limit(limit)
-    found = top.repartition("word").select("word", bind(tokenizer.maps(), lambda m: tokenizer.fold(F.col("word"), m)).alias("ids")).toArrow().to_pydict()
-    return zip(found["word"], found["ids"])
+    top = words.orderBy(F.desc("n"), "word").limit(limit).select("word").repartition("word")
+    known = cut(top.select("word", bind(tokenizer.maps(), lambda m: tokenizer.fold(F.col("word"), m)).alias("ids")), "words")
+    bucket = F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+    maps = known.groupBy(bucket.alias("b")).agg(F.map_from_entries(F.collect_list(F.struct("word", "ids"))).alias("m"))
+    # A row for each bucket, also for empty ones: at most `limit` entries in all.
+    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(maps, "b", "left")
+    by_bucket = lambda x, y: F.when(x["b"] < y["b"], -1).otherwise(1)
+    pairs = F.array_sort(F.collect_list(F.struct("b", "m")), by_bucket)
+    return every.agg(F.transform(pairs, lambda p: p["m"]).alias("maps")).scalar()
 
 
 def encode(docs: DataFrame, tokenizer: Tokenizer, sample_docs: int = SAMPLE_DOCS, limit: int = WORDS) -> DataFrame:
     """docs with ids_text, the ids of the whole text joined by spaces, and ids, the same as an array."""
-    known = hashed_maps((word, f'"{ids}"') for word, ids in common_words(docs, tokenizer, sample_docs, limit))
-    literals = F.struct(literal(known, "array<map<string,string>>").alias("known"), tokenizer.maps().alias("maps"))
+    # The value is no column of the rows that run: used once, it is put in its place when the plan is optimised.
+    with_words = docs.withColumn("__known", common_words(docs, tokenizer, sample_docs, limit))
+    literals = F.struct(F.col("__known").alias("known"), tokenizer.maps().alias("maps"))
     words = tokenizer.words(F.col("text"))
     text = bind(literals, lambda t: F.array_join(F.transform(words, lambda w: F.coalesce(lookup(t["known"], w), tokenizer.fold(w, t["maps"]))), " "))
-    out = docs.withColumn("ids_text", text)
+    out = with_words.withColumn("ids_text", text).drop("__known")
     return out.withColumn("ids", F.when(F.col("ids_text") == "", F.array().cast("array<int>")).otherwise(F.split("ids_text", " ").cast("array<int>")))
