@@ -17,6 +17,7 @@ of one doc_id by the text's hash; an empty table writes an empty table.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 
@@ -36,7 +37,32 @@ MAGIC = b"PFR1"
 #: Bytes of text that are encoded at once.
 STEP = 4 << 20
 #: Words that a worker remembers the ids of.
-MEMORY = 300_000
+MEMORY = 800_000
+
+
+#: Blocks whose bits are laid out at once.
+TOGETHER = 256
+
+
+def low_bits(values: np.ndarray, w: int) -> np.ndarray:
+    """The low w bits of each value, the least first, one packed row for each row of values."""
+    kind = "<u2" if w <= 16 else "<u4"
+    raw = np.ascontiguousarray(values.astype(kind)).view(np.uint8)
+    if w == 8 * np.dtype(kind).itemsize:
+        return raw
+    bits = np.unpackbits(raw, axis=1, bitorder="little").reshape(len(values), values.shape[1], -1)[:, :, :w]
+    return np.packbits(bits.reshape(len(values), -1), axis=1, bitorder="little")
+
+
+def from_bits(packed: np.ndarray, w: int, block: int) -> np.ndarray:
+    """What low_bits packed."""
+    kind = "<u2" if w <= 16 else "<u4"
+    size = 8 * np.dtype(kind).itemsize
+    if w < size:
+        bits = np.zeros((len(packed), block, size), dtype=np.uint8)
+        bits[:, :, :w] = np.unpackbits(packed, axis=1, count=block * w, bitorder="little").reshape(len(packed), block, w)
+        packed = np.packbits(bits.reshape(len(packed), -1), axis=1, bitorder="little")
+    return np.ascontiguousarray(packed).view(kind).astype(np.uint32)
 
 
 def pack(ids: np.ndarray, block: int = BLOCK, keep: float = KEEP) -> bytes:
@@ -53,14 +79,19 @@ def pack(ids: np.ndarray, block: int = BLOCK, keep: float = KEEP) -> bytes:
     limit = np.partition(rest, at, axis=1)[:, at] if count else low
     width = np.ceil(np.log2(limit.astype(np.float64) + 1)).astype(np.uint8)
     odd = rest >= (np.uint64(1) << width.astype(np.uint64))[:, None]
+    n_odd = odd.sum(axis=1)
     parts: list[bytes] = [b""] * count
-    for w in np.unique(width):
-        own = np.flatnonzero(width == w)
-        bits = ((rest[own][:, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8).reshape(len(own), -1)
-        packed = np.packbits(bits, axis=1, bitorder="little") if w else np.zeros((len(own), 0), dtype=np.uint8)
-        for i, b in zip(own, packed):
-            where = np.flatnonzero(odd[i])
-            parts[i] = struct.pack("<IBH", low[i], w, len(where)) + b.tobytes() + where.astype("<u2").tobytes() + rest[i][where].astype("<u4").tobytes()
+    for w in np.unique(width).tolist():
+        same = np.flatnonzero(width == w)
+        for at in range(0, len(same), TOGETHER):
+            own = same[at : at + TOGETHER]
+            packed = low_bits(rest[own], w)
+            for k, i in enumerate(own.tolist()):
+                head = struct.pack("<IBH", low[i], w, n_odd[i]) + packed[k].tobytes()
+                if n_odd[i]:
+                    where = np.flatnonzero(odd[i])
+                    head += where.astype("<u2").tobytes() + rest[i][where].astype("<u4").tobytes()
+                parts[i] = head
     starts = np.concatenate(([0], np.cumsum([len(p) for p in parts])))[:-1] if count else np.zeros(0)
     return MAGIC + struct.pack("<IIQ", count, block, n) + starts.astype("<u8").tobytes() + b"".join(parts)
 
@@ -76,18 +107,15 @@ def unpack(data: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
     out = np.empty((len(heads), block), dtype=np.uint32)
     widths = np.array([h[1] for h in heads], dtype=np.int64)
     raw = np.frombuffer(data, np.uint8)
-    for w in np.unique(widths):
-        own = np.flatnonzero(widths == w)
+    for w in np.unique(widths).tolist():
+        same = np.flatnonzero(widths == w)
         if not w:
-            out[own] = 0
+            out[same] = 0
             continue
-        size = -(-block * int(w) // 8)
-        packed = raw[(starts[first:last][own] + 7)[:, None] + np.arange(size)[None, :]]
-        bits = np.unpackbits(packed, axis=1, count=block * int(w), bitorder="little").reshape(len(own), block, int(w))
-        values = np.zeros((len(own), block), dtype=np.uint32)
-        for b in range(int(w)):
-            values |= bits[:, :, b].astype(np.uint32) << np.uint32(b)
-        out[own] = values
+        size = np.arange(-(-block * w // 8))
+        for at in range(0, len(same), TOGETHER):
+            own = same[at : at + TOGETHER]
+            out[own] = from_bits(raw[(starts[first:last][own] + 7)[:, None] + size[None, :]], w, block)
     for i, (low, w, odd) in enumerate(heads):
         if odd:
             at = int(starts[first + i]) + 7 + -(-block * w // 8)
@@ -104,34 +132,54 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        # A worker is one of many on its machine: threads of its own would only take turns with theirs, and each keeps memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def ids_of_words(self, words: list[str]) -> list[np.ndarray]:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > MEMORY:
-            self.known, new = {}, words
-        for at in range(0, len(new), 8192):
-            part = new[at : at + 8192]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, dtype=np.uint32)
-        return [self.known[w] for w in words]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.forget()
+
+    def forget(self) -> None:
+        """Known words, and where the ids of each begin in one run of ids."""
+        self.words, self.flat, self.begin = pa.array([], pa.large_string()), np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
+
+    def learn(self, words: pa.Array) -> None:
+        texts, ids, sizes = words.to_pylist(), [], []
+        for at in range(0, len(texts), 4096):
+            for e in self.tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False):
+                own = e.ids
+                ids.extend(own)
+                sizes.append(len(own))
+        self.words = pa.concat_arrays([self.words, words])
+        self.flat = np.concatenate((self.flat, np.array(ids, dtype=np.uint32)))
+        self.begin = np.concatenate((self.begin, self.begin[-1] + np.cumsum(np.array(sizes, dtype=np.int64))))
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """The number of each word among the known ones; unknown words are learned first."""
+        found = pc.index_in(words, value_set=self.words)
+        if found.null_count:
+            if len(self.words) + found.null_count > MEMORY:
+                self.forget()
+                self.learn(words)
+                return np.arange(len(words))
+            self.learn(words.filter(pc.is_null(found)))
+            new = found.is_null().to_numpy(zero_copy_only=False)
+            out = pc.fill_null(found, 0).to_numpy().astype(np.int64)
+            out[new] = len(self.words) - found.null_count + np.arange(found.null_count)
+            return out
+        return found.to_numpy().astype(np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and the number of each text's ids. Null counts as empty."""
         lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
-        doc = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        doc = np.repeat(np.arange(len(texts), dtype=np.int32), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
         coded = lists.flatten().dictionary_encode()
-        index = coded.indices.to_numpy()
-        ids = self.ids_of_words(coded.dictionary.to_pylist())
-        sizes = np.array([len(x) for x in ids], dtype=np.int64)
-        flat = np.concatenate([np.zeros(0, dtype=np.uint32), *ids])
-        begin = np.concatenate(([0], np.cumsum(sizes)))
-        n = sizes[index]
+        place = self.places(coded.dictionary)[coded.indices.to_numpy()]
+        begin = self.begin[place]
+        n = self.begin[place + 1] - begin
         lengths = np.bincount(doc, weights=n, minlength=len(texts)).astype(np.int64)
-        at = np.repeat(begin[index] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return flat[at], lengths
+        at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return self.flat[at], lengths
 
 
 _ENCODERS: dict[str, Encoder] = {}
