@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from corpuslab.plans.scratch import cut
+
 SOURCES = ("real", "synth_closed", "synth_open", "synth_edit")
 LABELS = ("mild", "moderate", "severe", "very_severe")
 RECORD = T.StructType([
@@ -138,3 +140,12 @@ def assert_disjoint(corpora: DataFrame, part: str = "split", keys: tuple[str, ..
         shared = corpora.groupBy(F.col(k).cast("string").alias("value")).agg(F.count_distinct(part).alias("n_parts")).where("n_parts > 1")
         out.append(shared.select(F.lit(k).alias("key"), "value", "n_parts"))
     return reduce(lambda a, b: a.unionByName(b), out)
+
+
+def numbered(df: DataFrame, order: list[Column], out: str = "place", start: int = 1) -> DataFrame:
+    """All rows with their place by the order, from `start`. Rows are dealt to ranges and numbered within them, after the counts of the
+    ranges before, a row for each range: no task holds all rows. The order must tell rows apart."""
+    dealt = cut(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "numbered")
+    before = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select("__part", (F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).alias("__before"))
+    place = (F.col("__before") + F.row_number().over(W.partitionBy("__part").orderBy(*order)) + (start - 1)).cast("long")
+    return dealt.join(F.broadcast(before), "__part").withColumn(out, place).drop("__part", "__before")

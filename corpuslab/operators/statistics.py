@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 
 from corpuslab.functions import tails
 from corpuslab.functions.draws import draw
+from corpuslab.operators.corpus import numbered
 from corpuslab.operators.metrics import confusion
 
 #: Critical values are looked up to this many degrees of freedom, and the normal value beyond.
@@ -43,10 +44,10 @@ def mean_ci(df: DataFrame, by: list[str], value: str, level: float = 0.95) -> Da
 def bootstrap_cells(pred: DataFrame, n_boot: int, seed: int, order: str = "ord", columns: tuple[str, ...] = ("y_true", "y_pred")) -> DataFrame:
     """draw, columns, n: each draw's cells. Rows are numbered, a draw picks n of the numbers, and only its cells are kept."""
     n = pred.count()
-    numbered = pred.select(*columns, (F.row_number().over(W.orderBy(order)) - 1).cast("long").alias("i"))
-    draws = pred.sparkSession.range(n_boot).withColumnRenamed("id", "draw").withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(n - 1, 0)).cast("long"))))
+    rows = numbered(pred.select(*dict.fromkeys((*columns, order))), [F.col(order)], "i", 0).select(*columns, "i")
+    draws = pred.sparkSession.range(n_boot * n).select(F.expr(f"id div {max(n, 1)}").alias("draw"), (F.col("id") % max(n, 1)).alias("j"))
     picked = draws.withColumn("i", draw(max(n, 1), seed, F.col("draw"), F.col("j")))
-    return picked.join(numbered, "i").groupBy("draw", *columns).agg(F.count(F.lit(1)).alias("n"))
+    return picked.join(rows, "i").groupBy("draw", *columns).agg(F.count(F.lit(1)).alias("n"))
 
 
 def bootstrap_metric(pred: DataFrame, metric, n_boot: int = 10000, seed: int = 0, level: float = 0.95, order: str = "ord") -> DataFrame:

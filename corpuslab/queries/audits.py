@@ -139,6 +139,15 @@ def _(spark, sf):
     return A.scope(picked, ["draw"]).select("draw", F.round("scope", 9).alias("scope"))
 
 
+@query("fid3_matched_draws_all", sql("v_pred", body="SELECT draw, round(100 * (max(m) - min(m)) / 3, 9) AS scope FROM (SELECT draw, y_true, avg(y_pred) AS m FROM (SELECT d AS draw, y_true, y_pred, row_number() OVER (PARTITION BY d, y_true ORDER BY md5(concat_ws('|', d, ord)), ord) AS rn FROM v_pred, range(4) r(d)) WHERE rn <= 25 GROUP BY 1, 2) GROUP BY 1"))
+def _(spark, sf):
+    from corpuslab.operators.mixing import permutation
+
+    p = V.v_pred(spark, sf).select("ord", "y_true", "y_pred").withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))))
+    picked = permutation(p, F.col("draw"), ["draw", "y_true"]).where("rn < 25").withColumn("n", F.lit(1))
+    return A.scope(picked, ["draw"]).select("draw", F.round("scope", 9).alias("scope"))
+
+
 @query("fid4_offsets", sql("v_pred", body="SELECT init, y_true, round(avg(y_pred - y_true), 9) AS shift FROM v_pred GROUP BY 1, 2"))
 def _(spark, sf):
     return V.v_pred(spark, sf).groupBy("init", "y_true").agg(F.round(F.avg(F.col("y_pred") - F.col("y_true")), 9).alias("shift"))
