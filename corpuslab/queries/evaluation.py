@@ -195,9 +195,9 @@ def _(spark, sf):
     return V.v_docs(spark, sf).groupBy("lang").agg(q(0.1).alias("p10"), q(0.5).alias("p50"), q(0.9).alias("p90"))
 
 
-@query("sta16_variance_ratio", sql("v_pixels", body="SELECT round(avg(((r - m) ** 2 + (g - m) ** 2 + (b - m) ** 2) / 2) / var_samp(m), 9) AS ratio FROM (SELECT *, (r + g + b) / 3 AS m FROM v_pixels)"))
-def _(spark, sf):
-    return T.variance_ratio(V.v_pixels(spark, sf), ["r", "g", "b"]).select(F.round("ratio", 9).alias("ratio"))
+@V.pixel_query("sta16_variance_ratio", sql("v_pixels", body="SELECT round(avg(((r - m) ** 2 + (g - m) ** 2 + (b - m) ** 2) / 2) / var_samp(m), 9) AS ratio FROM (SELECT *, (r + g + b) / 3 AS m FROM v_pixels)"))
+def _(spark, sf, pixels):
+    return T.variance_ratio(pixels(spark, sf), ["r", "g", "b"]).select(F.round("ratio", 9).alias("ratio"))
 
 
 @query("sta17_learning_curve", sql("v_docs", body="SELECT lang, round(regr_slope(label, log2(n_chars)), 9) AS slope FROM v_docs WHERE n_chars > 0 GROUP BY 1"))

@@ -29,3 +29,9 @@ def test_bootstraps_read_all_events(spark, sf):
     assert math.isclose(point["sta2_bootstrap_metric_all"], hit, abs_tol=1e-6)
     assert math.isclose(point["sta3_paired_bootstrap_all"], third - hit, abs_tol=1e-6)
     assert math.isclose(point["sta4_bootstrap_mean_all"], sum(r["y_pred"] for r in p) / len(p), abs_tol=1e-4)
+
+
+def test_pixels_of_all_images(spark, sf):
+    n = V.table(spark, sf, "orders").count()
+    assert QUERIES["fn8_lab_all"](spark, sf).count() == n
+    assert QUERIES["ton4_degenerate_share_all"](spark, sf).first()["n"] == n
