@@ -212,6 +212,12 @@ def _(spark, sf):
     return top.withColumn("place", F.row_number().over(W.orderBy(F.desc("size"), order_key(5, F.col("grp")), "grp")))
 
 
+@query("srt3_largest_groups_first_all", sql("v_docs", body="SELECT grp, size, row_number() OVER (ORDER BY size DESC, md5(concat_ws('|', 5, grp)), grp) AS place FROM (SELECT grp, count(*) AS size FROM v_docs GROUP BY 1)"))
+def _(spark, sf):
+    g = V.v_docs(spark, sf).groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
+    return C.numbered(g, [F.desc("size"), order_key(5, F.col("grp")), F.col("grp")])
+
+
 @query("srt4_means_descending", sql("v_docs", body="SELECT source, round(avg(n_chars), 6) AS mean, row_number() OVER (ORDER BY avg(n_chars) DESC, source)::INT AS place FROM v_docs GROUP BY 1"))
 def _(spark, sf):
     m = V.v_docs(spark, sf).groupBy("source").agg(F.avg("n_chars").alias("m"))
@@ -244,6 +250,13 @@ def _(spark, sf):
     return both.select(F.row_number().over(W.orderBy("part", "ord")).alias("place"), "path")
 
 
+@query("set1_concat_all", sql("v_corpus", body="SELECT row_number() OVER (ORDER BY part, ord) AS place, path FROM (SELECT 0 AS part, * FROM v_corpus WHERE source = 'real' UNION ALL SELECT 1, * FROM v_corpus WHERE source = 'synth_open')"))
+def _(spark, sf):
+    c = V.v_corpus(spark, sf).select("ord", "path", "label", "source")
+    both = C.concat(C.real(c), C.matching(c, source="synth_open"))
+    return C.numbered(both, [F.col("part"), F.col("ord")]).select("place", "path")
+
+
 @query("set2_intersect", sql("v_docs", body="SELECT grp FROM v_docs WHERE label = 0 INTERSECT SELECT grp FROM v_docs WHERE label = 1"))
 def _(spark, sf):
     d = V.v_docs(spark, sf)

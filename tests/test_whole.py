@@ -35,3 +35,13 @@ def test_pixels_of_all_images(spark, sf):
     n = V.table(spark, sf, "orders").count()
     assert QUERIES["fn8_lab_all"](spark, sf).count() == n
     assert QUERIES["ton4_degenerate_share_all"](spark, sf).first()["n"] == n
+
+
+def test_concat_and_groups_return_all_rows(spark, sf):
+    v = V.v_corpus(spark, sf)
+    n = {r["source"]: r["n"] for r in v.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
+    got = sorted((r["place"], r["path"]) for r in QUERIES["set1_concat_all"](spark, sf).collect())
+    by = lambda s: [r["path"] for r in v.where(F.col("source") == s).orderBy("ord").collect()]
+    assert [p for _, p in got] == by("real") + by("synth_open") and len(got) == n["real"] + n["synth_open"]
+    groups = V.v_docs(spark, sf).select("grp").distinct().count()
+    assert groups > 50 and QUERIES["srt3_largest_groups_first_all"](spark, sf).count() == groups
