@@ -114,6 +114,20 @@ def _(spark, sf):
     return p.where(F.col("stem").endswith(".html")).join(meta, "page_id").select("stem", "page_id")
 
 
+_BASE = "p AS (SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^.*/', '') AS base FROM pages)"
+
+
+@query("jn17_meta_by_stem_all", f"WITH {_BASE}, f AS (SELECT page_id, regexp_replace(base, '[.]html$', '') AS stem FROM p WHERE base LIKE '%.html'), m AS (SELECT base AS stem, min(page_id) AS meta_id FROM p WHERE base NOT LIKE '%.html' GROUP BY 1) SELECT stem, page_id, meta_id, meta_id IS NULL AS missing FROM f LEFT JOIN m USING (stem)")
+def _(spark, sf):
+    from corpuslab.functions.scalars import basename
+
+    p = V.table(spark, sf, "pages").select("page_id", basename(F.regexp_replace("url", "[?#].*$", "")).alias("base"))
+    # Addresses with the suffix are the files; all others are the metadata, a row for each stem. Files without metadata are the guard's report.
+    files = p.where(F.col("base").endswith(".html")).select("page_id", F.regexp_replace("base", "[.]html$", "").alias("stem"))
+    meta = p.where(~F.col("base").endswith(".html")).groupBy(F.col("base").alias("stem")).agg(F.min("page_id").alias("meta_id"))
+    return files.join(meta, "stem", "left").select("stem", "page_id", "meta_id", F.col("meta_id").isNull().alias("missing"))
+
+
 _P = sql("v_pred", body="").rstrip() + ", c AS (SELECT init, y_true, y_pred, count(*) AS n FROM v_pred GROUP BY 1, 2, 3)"
 
 

@@ -45,3 +45,10 @@ def test_concat_and_groups_return_all_rows(spark, sf):
     assert [p for _, p in got] == by("real") + by("synth_open") and len(got) == n["real"] + n["synth_open"]
     groups = V.v_docs(spark, sf).select("grp").distinct().count()
     assert groups > 50 and QUERIES["srt3_largest_groups_first_all"](spark, sf).count() == groups
+
+
+def test_metadata_joined_by_stem(spark, tmp_path):
+    urls = ["http://a/x/1.html", "http://b/1", "http://c/y/2.html?page=2", "http://d/3#top", "http://e/1?ref=x", "http://f/3.html#top"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {(r["stem"], r["page_id"], r["meta_id"], r["missing"]) for r in QUERIES["jn17_meta_by_stem_all"](spark, str(tmp_path)).collect()}
+    assert got == {("1", 0, 1, False), ("2", 2, None, True), ("3", 5, 3, False)}
