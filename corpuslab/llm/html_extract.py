@@ -2,7 +2,8 @@
 
 A page is cut into blocks at block-level tags. A block's features are its words and link density, those of the blocks before
 and after it, and what it stands in: an article, a part that holds menus, headers, footers, sidebars, forms or the
-like by its tag, or one that says so in its class or id. The tree, fitted from TABLE, keeps or drops each block.
+like by its tag, or one that says so in its class or id. An article within a part so named starts anew, unless the part lists other
+articles; headings are not judged by their own names. The tree, fitted from TABLE, keeps or drops each block.
 
 Edge cases: null or empty html gives an empty text; unclosed tags are closed as browsers close them; an unclosed comment, script or
 style runs to the end; a tag without its end is text; repeated pages are treated alike; an empty table gives an empty
@@ -40,6 +41,16 @@ MARKS = frozenset(
     "teaser toolbar topbar tracking widget".split()
 )
 
+#: Parts that may stand beside a mark in one name, as in related-posts; a name with any other part, as in has-sidebar, marks nothing.
+BESIDE = frozenset(
+    "site page main top bottom left right primary secondary global social media box bar area list lists links link block section sections container wrapper wrap inner outer content "
+    "post posts article articles item items btn button icon icons form text panel slot unit google col column group holder title body".split()
+)
+#: Marks of parts whose articles are not the page's own.
+LISTS = frozenset("comment comments disqus related recommended replies reply respond teaser widget promo promoted promotion sponsored taboola outbrain".split())
+#: The least share of the running words that articles hold on a page which is judged by them.
+ARTICLE_SHARE = 0.2
+
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "article", "boiler", "marked", "heading", "page_has_article")
 #: The labelled table: features in that order, and 1 for main text. Rows without an article are pages that mark none.
 TABLE = (
@@ -63,6 +74,9 @@ TABLE = (
     ((45, 0.0, 5, 0.0, 2, 0.0, 0, 0, 0, 0, 0), 1), ((80, 0.1, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 0), 1), ((35, 0.0, 4, 0.2, 3, 0.3, 0, 0, 0, 0, 0), 1),
     ((70, 0.2, 2, 0.0, 1, 0.0, 0, 0, 0, 0, 0), 1), ((28, 0.0, 90, 0.0, 0, 0.0, 0, 0, 0, 0, 0), 1), ((50, 0.3, 6, 0.5, 4, 0.6, 0, 0, 0, 0, 0), 1),
     ((2, 0.0, 35, 0.0, 30, 0.0, 0, 0, 0, 0, 0), 1), ((5, 0.0, 0, 0.0, 70, 0.0, 0, 0, 0, 1, 0), 1), ((8, 0.1, 50, 0.0, 28, 0.0, 0, 0, 0, 0, 0), 1),
+    # a page without an article: short text among short and long text
+    ((5, 0.0, 40, 0.0, 15, 0.0, 0, 0, 0, 0, 0), 1), ((7, 0.0, 30, 0.0, 12, 0.0, 0, 0, 0, 0, 0), 1), ((4, 0.0, 18, 0.0, 16, 0.0, 0, 0, 0, 0, 0), 1),
+    ((3, 0.0, 25, 0.0, 18, 0.0, 0, 0, 0, 1, 0), 1), ((6, 0.0, 14, 0.0, 20, 0.0, 0, 0, 0, 0, 0), 1), ((5, 0.0, 60, 0.0, 10, 0.0, 0, 0, 0, 1, 0), 1),
     # a page without an article: lists of links, lone short text, and parts of another kind
     ((2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0), 0), ((10, 0.9, 3, 1.0, 60, 0.0, 0, 0, 0, 0, 0), 0), ((4, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0), 0),
     ((30, 0.8, 40, 0.0, 5, 0.7, 0, 0, 0, 0, 0), 0), ((6, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 0, 0), 0), ((8, 0.6, 20, 0.0, 20, 0.0, 0, 0, 0, 0, 0), 0),
@@ -140,8 +154,8 @@ class Block:
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order; those without text are left out."""
     found: list[Block] = []
-    # Open elements: tag, and whether below it lies an article, a part of another kind, a marked part, a heading, hidden text.
-    stack: list[tuple[str, bool, bool, bool, bool, bool]] = [("", False, False, False, False, False)]
+    # Open elements: tag, and whether below it lies an article, a part of another kind, a marked part (as mark() says), a heading, hidden text.
+    stack: list[tuple[str, bool, bool, int, bool, bool]] = [("", False, False, 0, False, False)]
     current: Block | None = None
     anchors = 0
     at, n = 0, len(page)
@@ -154,7 +168,7 @@ def blocks(page: str) -> list[Block]:
             if value.isspace():
                 return
             _, article, boiler, marked, heading, _ = stack[-1]
-            current = Block(article, boiler, marked, heading)
+            current = Block(article, boiler, marked > 0, heading)
         current.parts.append(value)
         if anchors:
             current.linked.append(value)
@@ -242,16 +256,29 @@ def blocks(page: str) -> list[Block]:
         named = {}
         for a in _ATTRIBUTE.finditer(m[3]):
             named.setdefault(a[1].lower(), a[2] or a[3] or a[4] or "")
-        own = {p.lower() for k in ("class", "id", "role") for p in _PART.findall(named.get(k, ""))}
-        frame = tag in ("html", "body") or tag in ARTICLE
+        own = 0 if tag in ("html", "body") or tag in HEADING else max(map(mark, (x for k in ("class", "id", "role") for x in named.get(k, "").split())), default=0)
+        root = tag in ARTICLE or named.get("role") == "main"
+        titled = tag in HEADING and in_title(stack)
+        if titled:
+            marked = stack[max(k for k, x in enumerate(stack) if x[0] == "header") - 1][3]
+        elif root and (tag == "main" or marked < 2):
+            marked = 0
+            own = own if own == 2 else 0
         stack.append((
-            tag, article or tag in ARTICLE or named.get("role") == "main", (boiler or tag in BOILER) and not (tag in HEADING and in_title(stack)),
-            marked or (not frame and bool(own & MARKS)), heading or tag in HEADING, hidden or tag in SKIP,
+            tag, article or root, (boiler or tag in BOILER) and not titled, max(marked, own), heading or tag in HEADING, hidden or tag in SKIP,
         ))
     end_block()
     return found
 
 
+def mark(name: str) -> int:
+    """Of one class, id or role: 0, or 1 if it marks what is not the article, or 2 if it marks a list of other articles."""
+    parts = {p.lower() for p in _PART.findall(name)}
+    if not parts & MARKS or parts - MARKS - BESIDE:
+        return 0
+    return 2 if parts & LISTS else 1
+
+
 def in_title(stack: list[tuple]) -> bool:
     """Whether the innermost part of another kind is a header within an article: its headings belong to the article."""
     inner = [t for t, *_ in stack if t in BOILER or t in ARTICLE]
@@ -259,14 +286,15 @@ def in_title(stack: list[tuple]) -> bool:
 
 
 def rows_of(found: list[Block]) -> list[tuple]:
-    """The features of each block."""
-    has = any(b.article for b in found)
+    """The features of each block. A page whose articles hold little of its running text is one without."""
+    running = [b for b in found if not b.boiler and not b.marked and b.links < 0.5]
+    has = any(b.article for b in found) and sum(b.words for b in running if b.article) >= ARTICLE_SHARE * sum(b.words for b in running)
     out = []
     for i, b in enumerate(found):
         before, after = found[i - 1] if i else None, found[i + 1] if i + 1 < len(found) else None
         out.append((
             b.words, b.links, before.words if before else 0, before.links if before else 0.0, after.words if after else 0, after.links if after else 0.0,
-            b.article, b.boiler, b.marked, b.heading, has,
+            b.article and has, b.boiler, b.marked, b.heading, has,
         ))
     return out
 
