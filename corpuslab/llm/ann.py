@@ -11,7 +11,7 @@ Integer products are taken in float32, where they are exact up to 2**24: any dim
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components take no part, and neither do rows of null id;
 vectors of another dimension than the query's are no candidates; ties go to the smaller id; repeated ids are
-candidates of their own, except for the query's own id; fewer candidates than k give fewer rows; an empty
+candidates of their own, except for the query's own id; a query repeated with the same vector counts once; fewer candidates than k give fewer rows; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -150,7 +150,7 @@ def nearest(vectors: DataFrame, is_query, k: int = K, block: int = BLOCK, slices
     sound = F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("x", lambda x: x != 0)
     rows = rows.where(sound).drop("x")
     blocks = max(1, math.ceil(rows.where("query").count() / block))
-    queries = rows.where("query").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    queries = rows.where("query").dropDuplicates(["id", "v"]).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     candidates = rows.withColumn("query", F.lit(False)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("slice", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(slices)).cast("int"))
     both = queries.unionByName(candidates).select("block", "slice", "query", "id", "v")
     both = both.repartition("block", "slice").sortWithinPartitions("block", "slice", F.desc("query"))
