@@ -1,4 +1,4 @@
-"""A training corpus from raw documents: rules, classifier, near-duplicates, mixture, token ids.
+"""A training corpus from raw documents: rules, classifier, near-duplicates, mixture, byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's rows as Parquet to the shared folder and
 hands the table read back to the next. Models are fitted on the labelled documents of sf_dir; what a stage judges is all
@@ -39,9 +39,10 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, ids, and whether decoding them gives the text's bytes again: a row for each document taken."""
     tokenizer = bpe.Tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    # A smaller table of words than the operator's own default: the driver also holds what the stages before have left.
-    coded = bpe.encode(docs.select("doc_id", "source", "text"), tokenizer, sample_docs=15_000, limit=150_000)
-    same = tokenizer.decoded(F.col("ids")) == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    # The texts stay behind: their digests are enough to see that decoding gives them again.
+    rows = docs.select("doc_id", "source", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    coded = bpe.decode(bpe.encode(rows, tokenizer, ["doc_id", "source", "digest"]), tokenizer)
+    same = F.sha2("decoded", 256) == F.col("digest")
     return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
 

@@ -1,40 +1,49 @@
 """Byte-level BPE in Spark's own functions.
 
-Text is split by the tokenizer's pattern into words. A word's bytes are merged by a fold: each step looks up the ranks of
-all adjacent pairs in a literal rank map and joins the first pair of the least rank, until no pair has a rank; a word
-that is in the vocabulary as a whole is its own token. The map is an array of small maps, picked by the hash of the
-joined piece, since a lookup in one of Spark's maps walks through it. The ranks of the pairs are kept beside the pieces, so a
-merge looks up only the two pairs that it changes.
-
-Distinct words are folded once: the words of a bounded sample of documents make a literal table of words and their
-ids, of at most WORDS entries. Any other word is folded where it stands. So the sample decides how
-much work is saved and never what comes out, texts stay in their partitions, and nothing is shuffled but the sample's words.
-
-Decoding looks up each id's piece in a literal array and concatenates the pieces.
-
-Bytes are written as two hex digits within the fold, so pieces are strings and joining them is exact.
+Text is split by the tokenizer's pattern into words. A word's bytes are merged by a fold: each step joins the first of the
+adjacent pairs of the least rank, until no pair has a rank. The literal rank map takes a pair of ids to the id of the joined
+piece: its cells are the map's rows laid over one another, so a lookup reads two array cells. Of each piece it
+holds the one pair that byte-pair training joins it from: merging any text by ranks never meets a piece's other
+halves, since what lies within the piece would have been merged in the piece's own order before. `pairs` recovers these
+pairs from the ranks, and refuses a file that no byte-pair training can have left. So a piece is always joined later than
+its parts, and equal pairs can be joined in one step: words of more than LONG bytes are folded so, and take as many steps as they
+have different merges.
+
+Distinct words of all documents are folded, each once. Documents stand in blocks; a block is packed as its distinct words and the places of
+its words among them. The words of all blocks meet in buckets by their hash, and the ids of each block's words go back to the
+block. Shuffled are packed blocks and each block's distinct words: a frequent word comes up once for each block, so
+no key is hot.
+
+Decoding concatenates the ids' pieces.
 
 Edge cases: a null text counts as empty and has no tokens; letters, numbers and white space are told apart by Unicode's
-properties as the Java runtime knows them; a word of n bytes takes a fold of up to n steps over n
-pairs, so cost grows with the square of a word's length; an empty table gives an empty result; repeated rows are
-encoded alike; other columns are kept, of which `ids` and `ids_text` are replaced.
+properties as the Java runtime knows them; very long texts are encoded whole, and a block holds at most about BLOCK bytes or one document;
+an empty table gives an empty result; repeated rows are encoded alike; of the other columns those asked for are kept.
 """
 
 from __future__ import annotations
 
 import base64
-import json
+import io
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuslab.plans.scratch import cut
 
-#: Documents whose words are folded ahead, at most on average, and most of their words that are kept.
-SAMPLE_DOCS = 40000
-WORDS = 600_000
-#: Maps in a literal, a power of two.
-BUCKETS = 1 << 16
+#: Bytes of words in a block, about.
+BLOCK = 48 << 20
+#: Words of blocks that meet in a bucket, on average.
+BUCKET = 150_000
+#: Bytes of a word above which equal pairs are joined together.
+LONG = 192
+#: An id takes this many bits in a key; the last value stands for no id.
+BITS = 20
+NONE = (1 << BITS) - 1
 
 #: Unicode white space; Java's \s is ASCII only.
 SPACE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -49,120 +58,283 @@ def java_pattern(pattern: str) -> str:
 def read_ranks(path: str) -> list[bytes]:
     """Pieces in the order of their ranks."""
     with open(path, "rb") as f:
-        pairs = [line.split() for line in f if line.strip()]
-    ranks = sorted((int(r), base64.b64decode(p)) for p, r in pairs)
-    if [r for r, _ in ranks] != list(range(len(ranks))):
-        raise ValueError("ranks must run from 0 without gaps")
+        lines = [line.split() for line in f if line.strip()]
+    ranks = sorted((int(r), base64.b64decode(p)) for p, r in lines)
+    if [r for r, _ in ranks] != list(range(len(ranks))) or len(ranks) >= NONE:
+        raise ValueError("ranks must run from 0 without gaps, below 2 to the power of 20")
     return [p for _, p in ranks]
 
 
-def lookup(maps: Column, key: Column) -> Column:
-    """The value of a key in a literal made by hashed_maps; null without one."""
-    return F.try_element_at(F.get(maps, F.xxhash64(key).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), key)
-
+def pairs(pieces: list[bytes]) -> list[tuple[int, int, int]]:
+    """(left, right, joined) ids: the pair that each piece of two bytes or more is joined from."""
+    rank = {p: r for r, p in enumerate(pieces)}
+    out = []
+    for r, p in enumerate(pieces):
+        parts = [p[i : i + 1] for i in range(len(p))]
+        while len(parts) > 2:
+            ranks = [rank.get(a + b, r) for a, b in zip(parts, parts[1:])]
+            least = min(ranks)
+            if least == r:
+                break
+            at = ranks.index(least)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        if len(parts) == 2 and max(rank.get(x, r) for x in parts) < r:
+            out.append((rank[parts[0]], rank[parts[1]], r))
+        elif len(p) != 1:
+            raise ValueError(f"rank {r} isn't joined from two pieces of lesser ranks")
+    return out
+
+
+def laid(entries: list[tuple[int, int, int]], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """shift and cells: the entry of a pair (left, right) stands in cell shift[left] + right, as its two ids and the joined one."""
+    rows: dict[int, list[tuple[int, int]]] = {}
+    for left, right, joined in entries:
+        rows.setdefault(left, []).append((right, joined))
+    size = 8 * len(entries) + 2 * n + 1024
+    free, cells, shift, at, width = np.ones(size, dtype=bool), np.full(size, 1 << 3 * BITS, dtype=np.int64), np.zeros(n, dtype=np.int64), 0, 1 << 30
+    for left in sorted(rows, key=lambda x: (-len(rows[x]), x)):
+        rights = np.array([r for r, _ in rows[left]], dtype=np.int64)
+        if len(rights) <= width // 2:  # the gaps that wider rows have left
+            at, width = 0, len(rights)
+        first = rights.min()
+        while not (free[at] and free[rights + (at - first)].all()):
+            at += 1
+        shift[left] = at - first
+        free[rights + shift[left]] = False
+        for right, joined in rows[left]:
+            cells[shift[left] + right] = left << 2 * BITS | right << BITS | joined
+    return shift, cells[: int(np.flatnonzero(~free).max(initial=0)) + 1]
 
-def hashed_maps(items) -> str:
-    """JSON of an array of maps: each item is in the map that the hash of its key picks. Values are JSON themselves."""
-    import xxhash
 
-    buckets: list[list[str]] = [[] for _ in range(BUCKETS)]
-    for key, value in items:
-        h = xxhash.xxh64_intdigest(key.encode(), 42)
-        buckets[(h - (1 << 64) if h >> 63 else h) % BUCKETS].append(f"{json.dumps(key)}:{value}")
-    return "[" + ",".join("{" + ",".join(b) + "}" if b else "null" for b in buckets) + "]"
+def bind(value: Column, f) -> Column:
+    """f of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def literal(value: str, schema: str) -> Column:
-    """A literal of a nested type: parsing a constant is folded when the query is planned."""
-    return F.from_json(F.lit(value), schema)
+def long(value: int) -> Column:
+    return F.lit(value).cast("long")
 
 
 class Tokenizer:
-    """Columns for encoding and decoding with one rank file."""
+    """The rank map of a file, and columns that use it."""
 
     def __init__(self, path: str, pattern: str):
         self.pieces, self.pattern = read_ranks(path), java_pattern(pattern)
-        self._maps = hashed_maps((p.hex().upper(), rank) for rank, p in enumerate(self.pieces))
-        self._hex = json.dumps([p.hex().upper() for p in self.pieces])
+        self.shift, self.cells = laid(pairs(self.pieces), len(self.pieces))
+        single = {p: r for r, p in enumerate(self.pieces) if len(p) == 1}
+        if len(single) != 256:
+            raise ValueError("every byte must have a rank")
+        self.bytes = np.array([single[bytes([b])] for b in range(256)], dtype=np.int64)
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
-    def maps(self) -> Column:
-        """The literal rank map."""
-        return literal(self._maps, "array<map<string,int>>")
+    def map(self, spark: SparkSession) -> Column:
+        """The literal rank map: a struct that Spark puts into the plan in its own row format, which tasks read as bytes."""
+        row = pa.table({k: pa.array([v], pa.list_(pa.int64())) for k, v in (("shift", self.shift), ("cells", self.cells), ("bytes", self.bytes))})
+        return spark.createDataFrame(row).select(F.struct("shift", "cells", "bytes")).scalar()
 
-    def fold(self, word: Column, maps: Column) -> Column:
-        """The ids of a word, joined by spaces. maps: the literal, bound once for all lookups."""
-        none = F.array().cast("array<int>")
+    @staticmethod
+    def pair(t: Column, left: Column, right: Column) -> Column:
+        """The joined id of a pair, NONE without one, and below it the left id. t: the map. NONE has no pairs."""
+        cell = F.get(t["cells"], (F.get(t["shift"], left.cast("int")) + right).cast("int"))
+        key = F.shiftleft(left, 2 * BITS).bitwiseOR(F.shiftleft(right, BITS))
+        return F.shiftleft(F.least(cell.bitwiseXOR(key), long(NONE)), BITS).bitwiseOR(left)
 
-        def rank(left: Column, right: Column) -> Column:
-            return bind(F.concat(left, right), lambda p: lookup(maps, p))
+    def fold(self, word: Column, t: Column) -> Column:
+        """The ids of a word as an array. t: the map."""
 
-        def merge(p: Column, r: Column, i: Column) -> Column:
-            """Joins pieces i and i + 1. r[j] is the rank of the pair (j, j + 1)."""
-            joined = F.concat(F.element_at(p, i), F.element_at(p, i + 1))
+        def id_of(x: Column) -> Column:
+            return x.bitwiseAND(long(NONE))
 
-            def rest(x: Column) -> Column:
-                before = F.when(i > 1, F.array(rank(F.element_at(p, i - 1), x))).otherwise(none)
-                after = F.when(i + 1 < F.size(p), F.array(rank(x, F.element_at(p, i + 2)))).otherwise(none)
-                pieces = F.concat(F.slice(p, F.lit(1), i - 1), F.array(x), F.slice(p, i + 2, F.size(p)))
-                ranks = F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), before, after, F.slice(r, i + 2, F.size(p)))
-                return F.struct(pieces.alias("p"), ranks.alias("r"))
+        def paired(p: Column) -> Column:
+            """Each id with the joined id of itself and the next, between two ends."""
+            end = F.array(long(NONE << BITS | NONE))
+            return F.concat(end, F.transform(p, lambda x, j: self.pair(t, x, F.coalesce(F.get(p, j + 1), long(NONE)))), end)
 
-            return bind(joined, rest)
+        def first(s: Column, m: Column) -> Column:
+            """Joins the first pair m: it and the piece before have new pairs, and the piece after is dropped."""
 
-        def step(state: Column, _: Column) -> Column:
-            least = F.array_min(state["r"])
-            return bind(F.array_position(state["r"], least).cast("int"), lambda i: F.when(i > 0, merge(state["p"], state["r"], i)).otherwise(state))
+            def at(i: Column) -> Column:
+                joined = F.shiftright(m, BITS)
+                before, own = self.pair(t, id_of(F.get(s, i - 2)), joined), self.pair(t, joined, id_of(F.get(s, i + 1)))
+                return F.array_compact(F.transform(s, lambda x, j: F.when((j < i - 2) | (j > i), x).when(j == i - 2, before).when(j == i - 1, own)))
 
-        def folded(p: Column) -> Column:
-            pairs = F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda x, j: rank(x, F.element_at(p, j + 2)))
-            start = F.struct(p.alias("p"), F.when(F.size(p) > 1, pairs).otherwise(none).alias("r"))
-            ids = lambda s: F.array_join(F.transform(s["p"], lambda x: lookup(maps, x).cast("string")), " ")
-            return F.aggregate(F.slice(p, F.lit(1), F.size(p) - 1), start, step, ids)
+            return bind(F.array_position(s, m).cast("int"), at)
 
-        def of_hex(whole: Column) -> Column:
-            pieces = F.transform(F.sequence(F.lit(1), F.length(whole), F.lit(2)), lambda i: F.substring(whole, i, F.lit(2)))
-            return F.coalesce(lookup(maps, whole).cast("string"), bind(pieces, folded))
+        def every(s: Column, m: Column) -> Column:
+            """Joins all pairs m, from the left. They are of the same two pieces, so they are found in a text of a letter for each piece."""
 
-        return bind(F.hex(F.encode(word, "UTF-8")), of_hex)
+            def of(right: Column) -> Column:
+                marks = F.array_join(F.transform(s, lambda x: F.when(id_of(x) == id_of(m), "l").when(id_of(x) == right, "r").otherwise(".")), "")
+                marked = F.split(F.replace(marks, F.when(id_of(m) == right, "ll").otherwise("lr"), F.lit("J-")), "")
+                p = F.array_compact(F.zip_with(s, marked, lambda x, c: F.when(c == "J", F.shiftright(m, BITS)).when(c != "-", id_of(x))))
+                return bind(bind(p, lambda q: F.slice(q, F.lit(2), F.size(q) - 2)), paired)
 
-    def decoded(self, ids: Column) -> Column:
-        """The bytes of ids."""
-        pieces = literal(self._hex, "array<string>")
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
+            return bind(id_of(F.get(s, F.array_position(s, m).cast("int"))), of)
 
-
-def bind(value: Column, f) -> Column:
-    """f of a value that is computed once."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
-def common_words(docs: DataFrame, tokenizer: Tokenizer, sample_docs: int = SAMPLE_DOCS, limit: int = WORDS) -> Column:
-    """The most frequent words of a sample of documents, at most `limit`, with their ids: one value, an array of maps as hashed_maps
-    makes them. Spark computes it once and puts it into the plan, so it never passes through Python."""
-    n = docs.select(F.lit(1)).count()
-    share = min(1.0, sample_docs / max(n, 1))
-    rows = docs.select(F.col("doc_id"), F.col("text")).where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    words = rows.select(F.explode(tokenizer.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    top = words.orderBy(F.desc("n"), "word").limit(limit).select("word").repartition("word")
-    known = cut(top.select("word", bind(tokenizer.maps(), lambda m: tokenizer.fold(F.col("word"), m)).alias("ids")), "words")
-    bucket = F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
-    maps = known.groupBy(bucket.alias("b")).agg(F.map_from_entries(F.collect_list(F.struct("word", "ids"))).alias("m"))
-    # A row for each bucket, also for empty ones: at most `limit` entries in all.
-    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(maps, "b", "left")
-    by_bucket = lambda x, y: F.when(x["b"] < y["b"], -1).otherwise(1)
-    pairs = F.array_sort(F.collect_list(F.struct("b", "m")), by_bucket)
-    return every.agg(F.transform(pairs, lambda p: p["m"]).alias("maps")).scalar()
-
-
-def encode(docs: DataFrame, tokenizer: Tokenizer, sample_docs: int = SAMPLE_DOCS, limit: int = WORDS) -> DataFrame:
-    """docs with ids_text, the ids of the whole text joined by spaces, and ids, the same as an array."""
-    # The value is no column of the rows that run: used once, it is put in its place when the plan is optimised.
-    with_words = docs.withColumn("__known", common_words(docs, tokenizer, sample_docs, limit))
-    literals = F.struct(F.col("__known").alias("known"), tokenizer.maps().alias("maps"))
-    words = tokenizer.words(F.col("text"))
-    text = bind(literals, lambda t: F.array_join(F.transform(words, lambda w: F.coalesce(lookup(t["known"], w), tokenizer.fold(w, t["maps"]))), " "))
-    out = with_words.withColumn("ids_text", text).drop("__known")
-    return out.withColumn("ids", F.when(F.col("ids_text") == "", F.array().cast("array<int>")).otherwise(F.split("ids_text", " ").cast("array<int>")))
+        def folded(p: Column) -> Column:
+            steps, ids = F.slice(p, F.lit(1), F.size(p) - 1), lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda x: id_of(x).cast("int"))
+
+            def by(join) -> Column:
+                step = lambda s, _: bind(F.array_min(s), lambda m: F.when(m >= long(NONE << BITS), s).otherwise(join(s, m)))
+                return F.aggregate(steps, paired(p), step, ids)
+
+            return F.when(F.size(p) <= LONG, by(first)).otherwise(by(every))
+
+        latin = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
+        return bind(F.transform(F.split(latin, ""), lambda c: F.get(t["bytes"], F.ascii(c))), folded)
+
+
+def packed(batch: pa.RecordBatch) -> bytes:
+    out = io.BytesIO()
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(batch)
+    return out.getvalue()
+
+
+def unpacked(data: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data).read_next_batch()
+
+
+def slices(lists: pa.ListArray, limit: int):
+    """(first, end) of runs of lists of words that hold about `limit` bytes, a list at least."""
+    starts = lists.offsets.to_numpy()
+    if starts[-1] == starts[0]:
+        return [(0, len(lists))]
+    ends = np.frombuffer(lists.values.buffers()[1], dtype=np.int32)[lists.values.offset :][starts].astype(np.int64)
+    group = (ends[1:] - ends[0]) // limit
+    cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
+    return list(zip(cuts[:-1], cuts[1:]))
+
+
+def blocks(docs: DataFrame, tokenizer: Tokenizer, keep: list[str], limit: int = BLOCK) -> DataFrame:
+    """block, n, n_words, rows, places, words: n distinct words, the most frequent first, the places of n_words words among them, and rows, the
+    columns to keep with the number of each document's words; all packed."""
+
+    def pack(batches):
+        from pyspark import TaskContext
+
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for lo, hi in slices(batch.column(batch.num_columns - 1), limit):
+                part = batch.slice(lo, hi - lo)
+                lists = part.column(part.num_columns - 1)
+                coded = lists.flatten().dictionary_encode()
+                index = coded.indices.to_numpy()
+                order = np.argsort(-np.bincount(index, minlength=len(coded.dictionary)), kind="stable")
+                place = np.empty(len(order), dtype=np.int32)
+                place[order] = np.arange(len(order), dtype=np.int32)
+                sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+                # A byte of all places after the other: the high ones are mostly zero.
+                planes = np.ascontiguousarray(place[index].view(np.uint8).reshape(-1, 4).T) if len(index) else np.zeros((4, 0), np.uint8)
+                own = pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sizes, pa.int32())], [*keep, "__sizes"])
+                words = packed(pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(order))], ["w"]))
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([len(order)], pa.int64()), pa.array([len(index)], pa.int64()), *(pa.array([x], pa.binary()) for x in (packed(own), pa.compress(planes.tobytes(), "zstd", asbytes=True), words))], ["block", "n", "n_words", "rows", "places", "words"])
+                block += 1
+
+    return docs.select(*keep, tokenizer.words(F.col("text").cast("string")).alias("__words")).mapInArrow(pack, "block long, n long, n_words long, rows binary, places binary, words binary")
+
+
+def by_bucket(packed_blocks: DataFrame, buckets: int) -> DataFrame:
+    """bucket, block, at, words: the words of a block that fall into a bucket by their hash, and their places in it."""
+
+    def deal(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = unpacked(data.as_py()).column(0)
+                if not len(words):
+                    continue
+                own = (pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object), categorize=False) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(own, kind="stable")
+                found, sizes = np.unique(own, return_counts=True)
+                offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(order.astype(np.int32)), words.take(pa.array(order)))]
+                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(np.full(len(found), block)), *lists], ["bucket", "block", "at", "words"])
+
+    return packed_blocks.select("block", "words").mapInArrow(deal, "bucket int, block long, at array<int>, words array<string>")
+
+
+def word_ids(dealt: DataFrame, tokenizer: Tokenizer) -> DataFrame:
+    """block, at, ids: the ids of the words at these places of a block. Each distinct word of a bucket is folded once."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        words = table.column("words").combine_chunks()
+        coded = words.flatten().dictionary_encode()
+        sizes = pc.list_value_length(words).to_numpy()
+        offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        at = table.column("at").combine_chunks()
+        return pa.table({"distinct": one(coded.dictionary), "block": one(table.column("block").combine_chunks()), "at": one(at), "which": one(pa.ListArray.from_arrays(offsets, coded.indices))})
+
+    def part(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block, at, which, ids = (batch.column(k)[i].values for k in range(4))
+                for k in range(len(block)):
+                    own = ids.take(which[k].values)
+                    yield pa.RecordBatch.from_arrays([block.slice(k, 1), at.slice(k, 1), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)], ["block", "at", "ids"])
+
+    met = dealt.groupBy("bucket").applyInArrow(meet, "distinct array<string>, block array<long>, at array<array<int>>, which array<array<int>>")
+    # The map is no column of the rows that run: used once, it is put in its place when the plan is optimised.
+    with_map = met.withColumn("__map", tokenizer.map(dealt.sparkSession))
+    ids = bind(F.col("__map"), lambda t: F.transform(F.col("distinct"), lambda w: tokenizer.fold(w, t)))
+    return with_map.select("block", "at", "which", ids.alias("ids")).mapInArrow(part, "block long, at array<int>, ids array<array<int>>")
+
+
+def encode(docs: DataFrame, tokenizer: Tokenizer, keep: list[str], limit: int = BLOCK, bucket: int = BUCKET) -> DataFrame:
+    """The columns `keep` of docs, and ids, the ids of the whole text."""
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    held = cut(blocks(docs, tokenizer, keep, limit), "blocks")
+    words = held.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    found = word_ids(by_bucket(held, max(1, -(-words // bucket))), tokenizer)
+
+    def gather(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for i in range(left.num_rows):
+            row = left.slice(i, 1).to_pylist()[0]
+            at = pc.list_flatten(right.column("at")).to_numpy()
+            lists = pc.list_flatten(right.column("ids"))
+            sizes, flat = np.zeros(row["n"], dtype=np.int64), pc.list_flatten(lists).to_numpy()
+            n = pc.list_value_length(lists).to_numpy()
+            begin = np.zeros(row["n"], dtype=np.int64)
+            sizes[at], begin[at] = n, np.cumsum(n) - n
+            planes = np.frombuffer(pa.decompress(row["places"], 4 * row["n_words"], "zstd"), dtype=np.uint8) if row["n_words"] else np.zeros(0, np.uint8)
+            place = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.int32).ravel()
+            own = unpacked(row["rows"])
+            n = sizes[place]
+            ends = np.concatenate(([0], np.cumsum(n)))
+            ids = flat[np.repeat(begin[place] - ends[:-1], n) + np.arange(ends[-1])]
+            offsets = ends[np.concatenate(([0], np.cumsum(own.column(own.num_columns - 1).to_numpy())))]
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
+            out.append(pa.RecordBatch.from_arrays([*own.columns[:-1], lists], [*keep, "ids"]))
+        return pa.Table.from_batches(out)
+
+    return held.drop("words").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(gather, schema)
+
+
+def decode(coded: DataFrame, tokenizer: Tokenizer, ids: str = "ids") -> DataFrame:
+    """coded with ids_text, its ids in decimals joined by one space, and decoded, the bytes of its ids."""
+    pieces, decimals = pa.array(tokenizer.pieces, pa.large_binary()), pa.array([b"%d " % i for i in range(len(tokenizer.pieces))], pa.large_binary())
+    others = [c for c in coded.columns if c not in ("ids_text", "decoded")]
+    schema = T.StructType([*coded.select(*others).schema.fields, T.StructField("ids_text", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
+
+    def joined(table: pa.Array, flat: pa.Array, offsets: np.ndarray, less: int) -> pa.Array:
+        """The table's values at the ids of each row, concatenated; `less` bytes of each row's end are left out."""
+        values = table.take(flat)
+        at = np.frombuffer(values.buffers()[1], dtype=np.int64)[: len(values) + 1][offsets]
+        data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(np.ascontiguousarray(at)), values.buffers()[2]])
+        return (pc.binary_slice(data, 0, -less) if less else data).cast(pa.binary())
+
+    def texts(batches):
+        for batch in batches:
+            lists = batch.column(others.index(ids))
+            flat, offsets = lists.flatten(), np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, joined(decimals, flat, offsets, 1), joined(pieces, flat, offsets, 0)], schema.names)
+
+    return coded.select(*others).mapInArrow(texts, schema)

@@ -13,9 +13,8 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     tokenizer = bpe.Tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer)
-    decoded = F.sha2(tokenizer.decoded(F.col("ids")), 256)
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("ids_text", 256).alias("ids_sha256"), decoded.alias("decoded_sha256"))
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), tokenizer, ["doc_id"]), tokenizer)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,17 +53,38 @@ def encoding():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-@pytest.mark.parametrize("limit", [5, 100000])
-def test_bpe_is_the_librarys(docs, tokenizer, encoding, limit):
-    out = bpe.encode(docs, tokenizer, limit=limit).withColumn("bytes", tokenizer.decoded(F.col("ids"))).collect()
+@pytest.mark.parametrize("limit, bucket", [(1 << 20, 1 << 20), (300, 7)])
+def test_bpe_is_the_librarys(docs, tokenizer, encoding, limit, bucket):
+    out = bpe.decode(bpe.encode(docs, tokenizer, ["text", "size", "doc_id"], limit, bucket), tokenizer).collect()
     assert len(out) == len(ROWS)
     for r in out:
-        assert r["ids"] == encoding.encode_ordinary(r["text"] or "")
-        assert bytes(r["bytes"]) == (r["text"] or "").encode()
+        ids = encoding.encode_ordinary(r["text"] or "")
+        assert r["ids"] == ids and bytes(r["ids_text"]).decode() == " ".join(map(str, ids)) and r["size"] == "x"
+        assert bytes(r["decoded"]) == (r["text"] or "").encode()
 
 
 def test_bpe_of_nothing(empty, tokenizer):
-    assert bpe.encode(empty, tokenizer).count() == 0
+    assert bpe.encode(empty, tokenizer, ["doc_id"]).count() == 0
+    assert bpe.encode(empty.sparkSession.createDataFrame([(1, None), (2, "")], "doc_id long, text string"), tokenizer, ["doc_id"]).select(F.size("ids")).collect() == [(0,), (0,)]
+
+
+def test_bpe_of_long_words(spark, tokenizer, encoding):
+    """Words of many thousand bytes: one piece again and again, few letters, letters of three bytes, and each length about the limit."""
+    r = random.Random(11)
+    texts = ["a" * 100_000, "-" * 9_999, "=" * 4_001, "".join(r.choice("ACGT") for _ in range(20_000)), "".join(chr(r.randrange(0x4E00, 0x5000)) for _ in range(3_000)), "aab" * 500]
+    texts += ["".join(r.choice("ab") for _ in range(n)) for n in range(bpe.LONG - 3, bpe.LONG + 4)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for x in bpe.encode(df, tokenizer, ["text"], limit=1).collect():
+        assert x["ids"] == encoding.encode_ordinary(x["text"])
+
+
+def test_rank_map(tokenizer):
+    """Every pair stands in the map, and pairs that aren't in it aren't found."""
+    entries = bpe.pairs(tokenizer.pieces)
+    assert len(entries) == len(tokenizer.pieces) - 256 and all(tokenizer.pieces[a] + tokenizer.pieces[b] == tokenizer.pieces[c] and max(a, b) < c for a, b, c in entries)
+    assert all(tokenizer.cells[tokenizer.shift[a] + b] == a << 40 | b << 20 | c for a, b, c in entries)
+    with pytest.raises(ValueError):
+        bpe.pairs([bytes([b]) for b in range(256)] + [b"abc"])
 
 
 def test_packed_blocks():
