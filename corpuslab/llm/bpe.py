@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import base64
 import io
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,8 @@ from corpuslab.plans.scratch import cut
 
 #: Bytes of words in a block, about.
 BLOCK = 48 << 20
-#: Words of blocks that meet in a bucket, on average.
-BUCKET = 150_000
+#: Words of blocks that meet in a bucket, on average; the number of buckets beyond which they grow, and how far.
+BUCKET, BUCKETS, MOST = 150_000, 4096, 2_000_000
 #: Bytes of a word above which equal pairs are joined together.
 LONG = 192
 #: An id takes this many bits in a key; the last value stands for no id.
@@ -186,6 +187,39 @@ class Tokenizer:
         return bind(F.transform(F.split(latin, ""), lambda c: F.get(t["bytes"], F.ascii(c))), folded)
 
 
+def squeezed(*arrays: np.ndarray) -> bytes:
+    """Arrays as bytes: of each array first all lowest bytes, then all second ones, so that the high bytes, mostly zero, stand together."""
+    heads = [struct.pack("<2sQ", a.dtype.str[1:].encode(), len(a)) for a in arrays]
+    planes = [np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays]
+    raw = struct.pack("<B", len(arrays)) + b"".join(heads + planes)
+    return struct.pack("<Q", len(raw)) + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes) -> list[np.ndarray]:
+    raw = pa.decompress(data[8:], struct.unpack_from("<Q", data)[0], "zstd", asbytes=True)
+    count, out = raw[0], []
+    at = 1 + 10 * count
+    for i in range(count):
+        kind, n = struct.unpack_from("<2sQ", raw, 1 + 10 * i)
+        size = np.dtype(kind.decode()).itemsize
+        planes = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n)
+        out.append(np.ascontiguousarray(planes.T).view("<" + kind.decode()).ravel())
+        at += n * size
+    return out
+
+
+def bytes_of(words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """The lengths of words, and all their bytes."""
+    words = pa.concat_arrays([words])
+    ends = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset :][: len(words) + 1]
+    return np.diff(ends), np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)[ends[0] : ends[-1]]
+
+
+def words_of(sizes: np.ndarray, data: np.ndarray) -> pa.StringArray:
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.StringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data)))
+
+
 def packed(batch: pa.RecordBatch) -> bytes:
     out = io.BytesIO()
     with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
@@ -209,7 +243,7 @@ def slices(lists: pa.ListArray, limit: int):
 
 
 def blocks(docs: DataFrame, tokenizer: Tokenizer, keep: list[str], limit: int = BLOCK) -> DataFrame:
-    """block, n, n_words, rows, places, words: n distinct words, the most frequent first, the places of n_words words among them, and rows, the
+    """block, n, rows, places, words: n distinct words, the most frequent first, the places of a block's words among them, and rows, the
     columns to keep with the number of each document's words; all packed."""
 
     def pack(batches):
@@ -227,64 +261,65 @@ def blocks(docs: DataFrame, tokenizer: Tokenizer, keep: list[str], limit: int =
                 order = np.argsort(-np.bincount(index, minlength=len(coded.dictionary)), kind="stable")
                 place = np.empty(len(order), dtype=np.int32)
                 place[order] = np.arange(len(order), dtype=np.int32)
-                sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-                # A byte of all places after the other: the high ones are mostly zero.
-                planes = np.ascontiguousarray(place[index].view(np.uint8).reshape(-1, 4).T) if len(index) else np.zeros((4, 0), np.uint8)
-                own = pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sizes, pa.int32())], [*keep, "__sizes"])
-                words = packed(pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(order))], ["w"]))
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([len(order)], pa.int64()), pa.array([len(index)], pa.int64()), *(pa.array([x], pa.binary()) for x in (packed(own), pa.compress(planes.tobytes(), "zstd", asbytes=True), words))], ["block", "n", "n_words", "rows", "places", "words"])
+                sizes = pc.list_value_length(lists).cast(pa.int32())
+                rows = packed(pa.RecordBatch.from_arrays([*part.columns[:-1], sizes], [*keep, "__sizes"]))
+                words = squeezed(*bytes_of(coded.dictionary.take(pa.array(order))))
+                data = [pa.array([x], pa.binary()) for x in (rows, squeezed(place[index]), words)]
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([len(order)], pa.int64()), *data], ["block", "n", "rows", "places", "words"])
                 block += 1
 
-    return docs.select(*keep, tokenizer.words(F.col("text").cast("string")).alias("__words")).mapInArrow(pack, "block long, n long, n_words long, rows binary, places binary, words binary")
+    return docs.select(*keep, tokenizer.words(F.col("text").cast("string")).alias("__words")).mapInArrow(pack, "block long, n long, rows binary, places binary, words binary")
 
 
-def by_bucket(packed_blocks: DataFrame, buckets: int) -> DataFrame:
-    """bucket, block, at, words: the words of a block that fall into a bucket by their hash, and their places in it."""
+def by_bucket(held: DataFrame, buckets: int) -> DataFrame:
+    """bucket, block, words: the words of a block that fall into a bucket by their hash, and the steps between their places, packed."""
 
     def deal(batches):
         import pandas as pd
 
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = unpacked(data.as_py()).column(0)
+                words = words_of(*unsqueezed(data.as_py()))
                 if not len(words):
                     continue
-                own = (pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object), categorize=False) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(own, kind="stable")
-                found, sizes = np.unique(own, return_counts=True)
-                offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(order.astype(np.int32)), words.take(pa.array(order)))]
-                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(np.full(len(found), block)), *lists], ["bucket", "block", "at", "words"])
+                own = (pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object), categorize=False) % np.uint64(buckets)).astype(np.int32)
+                order = np.argsort(own, kind="stable").astype(np.int32)
+                words, own = words.take(pa.array(order)), own[order]
+                starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+                parts = [squeezed(np.diff(order[a:b], prepend=np.int32(0)), *bytes_of(words.slice(a, b - a))) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(own)])]
+                yield pa.RecordBatch.from_arrays([pa.array(own[starts]), pa.array(np.full(len(starts), block)), pa.array(parts, pa.binary())], ["bucket", "block", "words"])
 
-    return packed_blocks.select("block", "words").mapInArrow(deal, "bucket int, block long, at array<int>, words array<string>")
+    return held.select("block", "words").mapInArrow(deal, "bucket int, block long, words binary")
 
 
 def word_ids(dealt: DataFrame, tokenizer: Tokenizer) -> DataFrame:
-    """block, at, ids: the ids of the words at these places of a block. Each distinct word of a bucket is folded once."""
+    """block, ids: the ids of a block's words of one bucket, packed with the steps between their places. Each distinct word of a bucket is folded once."""
 
     def meet(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        words = table.column("words").combine_chunks()
-        coded = words.flatten().dictionary_encode()
-        sizes = pc.list_value_length(words).to_numpy()
-        offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+        parts = [unsqueezed(x.as_py()) for x in table.column("words")]
+        coded = pa.concat_arrays([words_of(sizes, data) for _, sizes, data in parts]).dictionary_encode()
+        ends = np.cumsum([len(steps) for steps, _, _ in parts])
+        which = np.split(coded.indices.to_numpy(), ends[:-1])
+        own = [squeezed(steps, w) for (steps, _, _), w in zip(parts, which)]
         one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-        at = table.column("at").combine_chunks()
-        return pa.table({"distinct": one(coded.dictionary), "block": one(table.column("block").combine_chunks()), "at": one(at), "which": one(pa.ListArray.from_arrays(offsets, coded.indices))})
+        return pa.table({"distinct": one(coded.dictionary), "block": one(table.column("block").combine_chunks()), "which": one(pa.array(own, pa.binary()))})
 
     def part(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                block, at, which, ids = (batch.column(k)[i].values for k in range(4))
-                for k in range(len(block)):
-                    own = ids.take(which[k].values)
-                    yield pa.RecordBatch.from_arrays([block.slice(k, 1), at.slice(k, 1), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)], ["block", "at", "ids"])
-
-    met = dealt.groupBy("bucket").applyInArrow(meet, "distinct array<string>, block array<long>, at array<array<int>>, which array<array<int>>")
+                block, which, ids = (batch.column(k)[i].values for k in range(3))
+                out = []
+                for x in which:
+                    steps, w = unsqueezed(x.as_py())
+                    own = ids.take(pa.array(w))
+                    out.append(squeezed(steps, pc.list_value_length(own).to_numpy().astype(np.int32), own.flatten().to_numpy()))
+                yield pa.RecordBatch.from_arrays([block, pa.array(out, pa.binary())], ["block", "ids"])
+
+    met = dealt.groupBy("bucket").applyInArrow(meet, "distinct array<string>, block array<long>, which array<binary>")
     # The map is no column of the rows that run: used once, it is put in its place when the plan is optimised.
     with_map = met.withColumn("__map", tokenizer.map(dealt.sparkSession))
     ids = bind(F.col("__map"), lambda t: F.transform(F.col("distinct"), lambda w: tokenizer.fold(w, t)))
-    return with_map.select("block", "at", "which", ids.alias("ids")).mapInArrow(part, "block long, at array<int>, ids array<array<int>>")
+    return with_map.select("block", "which", ids.alias("ids")).mapInArrow(part, "block long, ids binary")
 
 
 def encode(docs: DataFrame, tokenizer: Tokenizer, keep: list[str], limit: int = BLOCK, bucket: int = BUCKET) -> DataFrame:
@@ -292,30 +327,28 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, keep: list[str], limit: int =
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
     held = cut(blocks(docs, tokenizer, keep, limit), "blocks")
     words = held.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    found = word_ids(by_bucket(held, max(1, -(-words // bucket))), tokenizer)
+    # Beyond BUCKETS buckets they grow, up to MOST words: parts of a block would become too small to pack.
+    buckets = max(-(-words // MOST), min(-(-words // bucket), BUCKETS), 1)
+    found = word_ids(by_bucket(held, buckets), tokenizer)
 
     def gather(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        for i in range(left.num_rows):
-            row = left.slice(i, 1).to_pylist()[0]
-            at = pc.list_flatten(right.column("at")).to_numpy()
-            lists = pc.list_flatten(right.column("ids"))
-            sizes, flat = np.zeros(row["n"], dtype=np.int64), pc.list_flatten(lists).to_numpy()
-            n = pc.list_value_length(lists).to_numpy()
-            begin = np.zeros(row["n"], dtype=np.int64)
-            sizes[at], begin[at] = n, np.cumsum(n) - n
-            planes = np.frombuffer(pa.decompress(row["places"], 4 * row["n_words"], "zstd"), dtype=np.uint8) if row["n_words"] else np.zeros(0, np.uint8)
-            place = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.int32).ravel()
-            own = unpacked(row["rows"])
-            n = sizes[place]
-            ends = np.concatenate(([0], np.cumsum(n)))
-            ids = flat[np.repeat(begin[place] - ends[:-1], n) + np.arange(ends[-1])]
-            offsets = ends[np.concatenate(([0], np.cumsum(own.column(own.num_columns - 1).to_numpy())))]
-            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
-            out.append(pa.RecordBatch.from_arrays([*own.columns[:-1], lists], [*keep, "ids"]))
-        return pa.Table.from_batches(out)
-
-    return held.drop("words").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(gather, schema)
+        """left: the one row of a block. right: its words' ids, from each bucket."""
+        n, rows, places = (left.column(k)[0].as_py() for k in ("n", "rows", "places"))
+        parts = [unsqueezed(x.as_py()) for x in right.column("ids")]
+        none = np.zeros(0, dtype=np.int32)
+        at = np.concatenate([none, *(np.cumsum(steps) for steps, _, _ in parts)]).astype(np.int64)
+        lengths, flat = (np.concatenate([none, *(p[k] for p in parts)]) for k in (1, 2))
+        sizes, begin = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        sizes[at], begin[at] = lengths, np.cumsum(lengths) - lengths
+        (place,), own = unsqueezed(places), unpacked(rows)
+        of_word = sizes[place]
+        ends = np.concatenate(([0], np.cumsum(of_word)))
+        ids = flat[np.repeat(begin[place] - ends[:-1], of_word) + np.arange(ends[-1])]
+        offsets = ends[np.concatenate(([0], np.cumsum(own.column(own.num_columns - 1).to_numpy())))]
+        lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
+        return pa.table([*own.columns[:-1], lists], [*keep, "ids"])
+
+    return held.select("block", "n", "rows", "places").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(gather, schema)
 
 
 def decode(coded: DataFrame, tokenizer: Tokenizer, ids: str = "ids") -> DataFrame:
