@@ -39,7 +39,11 @@ from corpuslab.plans.scratch import cut
 #: Bytes of words in a block, about.
 BLOCK = 48 << 20
 #: Words of blocks that meet in a bucket, on average; the number of buckets beyond which they grow, and how far.
-BUCKET, BUCKETS, MOST = 150_000, 4096, 2_000_000
+BUCKET, BUCKETS, MOST = 400_000, 4096, 2_000_000
+#: How hard blocks are compressed.
+LEVEL = 6
+#: Words whose ids are gathered at once, and ids that are decoded at once.
+STEP = 1 << 20
 #: Bytes of a word above which equal pairs are joined together.
 LONG = 192
 #: An id takes this many bits in a key; the last value stands for no id.
@@ -189,14 +193,21 @@ class Tokenizer:
 
 def squeezed(*arrays: np.ndarray) -> bytes:
     """Arrays as bytes: of each array first all lowest bytes, then all second ones, so that the high bytes, mostly zero, stand together."""
+    import zstandard
+
+    z = zstandard.ZstdCompressor(level=LEVEL).compressobj()
     heads = [struct.pack("<2sQ", a.dtype.str[1:].encode(), len(a)) for a in arrays]
-    planes = [np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays]
-    raw = struct.pack("<B", len(arrays)) + b"".join(heads + planes)
-    return struct.pack("<Q", len(raw)) + pa.compress(raw, "zstd", asbytes=True)
+    out = [struct.pack("<Q", 1 + sum(10 + a.nbytes for a in arrays)), z.compress(struct.pack("<B", len(arrays)) + b"".join(heads))]
+    for a in arrays:
+        planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize)
+        out.extend(z.compress(np.ascontiguousarray(planes[:, k])) for k in range(a.itemsize) if len(a))
+    return b"".join([*out, z.flush()])
 
 
 def unsqueezed(data: bytes) -> list[np.ndarray]:
-    raw = pa.decompress(data[8:], struct.unpack_from("<Q", data)[0], "zstd", asbytes=True)
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(data[8:], max_output_size=struct.unpack_from("<Q", data)[0])
     count, out = raw[0], []
     at = 1 + 10 * count
     for i in range(count):
@@ -267,6 +278,9 @@ def blocks(docs: DataFrame, tokenizer: Tokenizer, keep: list[str], limit: int =
                 data = [pa.array([x], pa.binary()) for x in (rows, squeezed(place[index]), words)]
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([len(order)], pa.int64()), *data], ["block", "n", "rows", "places", "words"])
                 block += 1
+                del part, lists, coded, index, order, place, sizes, rows, words, data
+            del batch
+            pa.default_memory_pool().release_unused()
 
     return docs.select(*keep, tokenizer.words(F.col("text").cast("string")).alias("__words")).mapInArrow(pack, "block long, n long, rows binary, places binary, words binary")
 
@@ -341,10 +355,15 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, keep: list[str], limit: int =
         sizes, begin = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
         sizes[at], begin[at] = lengths, np.cumsum(lengths) - lengths
         (place,), own = unsqueezed(places), unpacked(rows)
-        of_word = sizes[place]
-        ends = np.concatenate(([0], np.cumsum(of_word)))
-        ids = flat[np.repeat(begin[place] - ends[:-1], of_word) + np.arange(ends[-1])]
-        offsets = ends[np.concatenate(([0], np.cumsum(own.column(own.num_columns - 1).to_numpy())))]
+        after = np.cumsum(sizes[place])
+        ends = np.concatenate(([0], np.cumsum(own.column(own.num_columns - 1).to_numpy())))
+        offsets = np.concatenate(([0], after))[ends]
+        ids = np.empty(offsets[-1], dtype=np.int32)
+        for lo in range(0, len(place), STEP):
+            some = place[lo : lo + STEP]
+            first, of_word = after[lo - 1] if lo else 0, sizes[some]
+            steps = np.cumsum(of_word)
+            ids[first : first + steps[-1]] = flat[np.repeat(begin[some] - steps + of_word, of_word) + np.arange(steps[-1])]
         lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
         return pa.table([*own.columns[:-1], lists], [*keep, "ids"])
 
@@ -364,8 +383,15 @@ def decode(coded: DataFrame, tokenizer: Tokenizer, ids: str = "ids") -> DataFram
         data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(np.ascontiguousarray(at)), values.buffers()[2]])
         return (pc.binary_slice(data, 0, -less) if less else data).cast(pa.binary())
 
+    def parts(batch):
+        """Rows that hold about STEP ids, a row at least."""
+        sizes = pc.fill_null(pc.list_value_length(batch.column(others.index(ids))), 0).to_numpy(zero_copy_only=False)
+        group = np.cumsum(sizes, dtype=np.int64) // STEP
+        ends = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), batch.num_rows]
+        return (batch.slice(lo, hi - lo) for lo, hi in zip(ends[:-1], ends[1:]))
+
     def texts(batches):
-        for batch in batches:
+        for batch in (p for b in batches if b.num_rows for p in parts(b)):
             lists = batch.column(others.index(ids))
             flat, offsets = lists.flatten(), np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))))
             yield pa.RecordBatch.from_arrays([*batch.columns, joined(decimals, flat, offsets, 1), joined(pieces, flat, offsets, 0)], schema.names)
