@@ -12,11 +12,14 @@ its minimum. Segments are rows of a table, with the documents they hold, so Spar
 write them to any store and a lost task leaves nothing half written.
 
 Edge cases: a null text is empty and leaves only the end id; documents come in ascending doc_id order, null first, rows
-of one doc_id by the text's hash; an empty table writes an empty table.
+of one doc_id by the text's hash, so repeated rows stand together; a very long text is encoded whole, in a segment of its own; other columns
+are ignored; an empty table writes an empty table.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 import os
 import struct
 import zlib
@@ -36,8 +39,8 @@ END = 1
 MAGIC = b"PFR1"
 #: Bytes of text that are encoded at once.
 STEP = 4 << 20
-#: Words that a worker remembers the ids of.
-MEMORY = 800_000
+#: Bytes of words and their ids that a worker remembers.
+MEMORY = 48 << 20
 
 
 #: Blocks whose bits are laid out at once.
@@ -128,7 +131,8 @@ class Encoder:
     """Ids of whole texts by a tokenizer of the tokenizers library.
 
     The tokenizer drops white space and joins nothing across it, so words between ASCII white space are encoded on their own,
-    each distinct one once, and the ids of a text are those of its words one after the other.
+    each distinct one once, and the ids of a text are those of its words one after the other. Where the tokenizer also parts ASCII
+    letters from digits and punctuation, whatever stands around them, white space is put there first: that makes fewer distinct words.
     """
 
     def __init__(self, path: str):
@@ -137,49 +141,77 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.parts, self.lowers = self.parts_ascii(), self.lowers_ascii()
         self.forget()
 
+    def parts_ascii(self) -> bool:
+        """Whether the tokenizer parts as `spaced` does: each character of ASCII is tried between and beside letters, digits and others."""
+        tries = [a + c + b for c in map(chr, range(33, 127)) for a in ("ab", "7", "é", ".", "'", "(") for b in ("cd", "s", "8", "é", "\u0338", ".", "'s")]
+        spaced = self.spaced(pa.array(tries, pa.large_string())).to_pylist()
+        return all(self.tokenizer.encode(x, add_special_tokens=False).ids == self.tokenizer.encode(y, add_special_tokens=False).ids for x, y in zip(tries, spaced))
+
+    def lowers_ascii(self) -> bool:
+        """Whether ASCII letters are the same to the tokenizer in both cases."""
+        tries = [f"{a}{b}" for a in map(chr, range(65, 91)) for b in ("", *map(chr, range(65, 91)))] + ["'S", "I'LL", "A.B"]
+        return all(self.tokenizer.encode(x, add_special_tokens=False).ids == self.tokenizer.encode(x.lower(), add_special_tokens=False).ids for x in tries)
+
+    def spaced(self, texts: pa.Array) -> pa.Array:
+        """Texts with white space between an ASCII letter and ASCII punctuation after it, between punctuation but an apostrophe and an ASCII letter after
+        it, and around ASCII digits. Texts that hold a special token stay as they are."""
+        whole = functools.reduce(pc.or_, [pc.match_substring(texts, x) for x in self.special], pa.array(np.zeros(len(texts), dtype=bool)))
+        out = pc.replace_substring_regex(texts, r"([A-Za-z])([!-/:-@\[-`{-~])", r"\1 \2")
+        out = pc.replace_substring_regex(out, r"([!-&(-/:-@\[-`{-~])([A-Za-z])", r"\1 \2")
+        out = pc.replace_substring_regex(out, r"([0-9])", r" \1 ")
+        return pc.if_else(whole, texts, out)
+
     def forget(self) -> None:
         """Known words, and where the ids of each begin in one run of ids."""
         self.words, self.flat, self.begin = pa.array([], pa.large_string()), np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
 
     def learn(self, words: pa.Array) -> None:
-        texts, ids, sizes = words.to_pylist(), [], []
-        for at in range(0, len(texts), 4096):
-            for e in self.tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False):
-                own = e.ids
-                ids.extend(own)
-                sizes.append(len(own))
+        ids, sizes = [], []
+        for at in range(0, len(words), 4096):
+            own = [e.ids for e in self.tokenizer.encode_batch_fast(words.slice(at, 4096).to_pylist(), add_special_tokens=False)]
+            sizes.extend(map(len, own))
+            ids.append(np.fromiter(itertools.chain.from_iterable(own), dtype=np.uint32))
         self.words = pa.concat_arrays([self.words, words])
-        self.flat = np.concatenate((self.flat, np.array(ids, dtype=np.uint32)))
+        self.flat = np.concatenate((self.flat, *ids))
         self.begin = np.concatenate((self.begin, self.begin[-1] + np.cumsum(np.array(sizes, dtype=np.int64))))
 
     def places(self, words: pa.Array) -> np.ndarray:
         """The number of each word among the known ones; unknown words are learned first."""
         found = pc.index_in(words, value_set=self.words)
         if found.null_count:
-            if len(self.words) + found.null_count > MEMORY:
+            new = pc.is_null(found)
+            unknown = words.filter(new)
+            if self.words.nbytes + self.flat.nbytes + self.begin.nbytes + unknown.nbytes > MEMORY:
                 self.forget()
                 self.learn(words)
                 return np.arange(len(words))
-            self.learn(words.filter(pc.is_null(found)))
-            new = found.is_null().to_numpy(zero_copy_only=False)
+            self.learn(unknown)
             out = pc.fill_null(found, 0).to_numpy().astype(np.int64)
-            out[new] = len(self.words) - found.null_count + np.arange(found.null_count)
+            out[new.to_numpy(zero_copy_only=False)] = len(self.words) - len(unknown) + np.arange(len(unknown))
             return out
         return found.to_numpy().astype(np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and the number of each text's ids. Null counts as empty."""
-        lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
-        doc = np.repeat(np.arange(len(texts), dtype=np.int32), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        lists = pc.ascii_split_whitespace(self.spaced(texts) if self.parts else texts)
+        # White space around a text leaves empty words, which have no ids.
+        ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         coded = lists.flatten().dictionary_encode()
-        place = self.places(coded.dictionary)[coded.indices.to_numpy()]
+        words = coded.dictionary
+        if self.lowers:
+            words = pc.if_else(pc.string_is_ascii(words), pc.ascii_lower(words), words)
+        distinct = words.dictionary_encode()
+        place = self.places(distinct.dictionary)[distinct.indices.to_numpy()][coded.indices.to_numpy()]
         begin = self.begin[place]
         n = self.begin[place + 1] - begin
-        lengths = np.bincount(doc, weights=n, minlength=len(texts)).astype(np.int64)
-        at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return self.flat[at], lengths
+        after = np.concatenate(([0], np.cumsum(n)))
+        at = np.repeat(begin - after[:-1], n) + np.arange(after[-1])
+        return self.flat[at], np.diff(after[ends])
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -208,7 +240,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END) -> None:
         if encoder is None:
             encoder = _ENCODERS[tokenizer] = Encoder(tokenizer)
         for batch in batches:
+            # What Arrow keeps of the piece before would add to what this one takes.
             for piece in steps(batch, 1) if batch.num_rows else []:
+                pa.default_memory_pool().release_unused()
                 ids, lengths = encoder.encode(piece.column(1))
                 ends = np.cumsum(lengths + 1)
                 whole = np.full(len(ids) + len(lengths), end, dtype=np.uint32)
