@@ -5,8 +5,11 @@ the excess goes to the other sources by weight until none is above. A source's t
 repetitions of all its documents and one fractional repetition, a seeded sample whose size comes
 within half a document of what is left.
 
+Lots are digests of doc_id, size and text. Rows that are equal in these draw one lot; where the sample ends among them, as many of them
+as are left are taken, no matter which.
+
 Edge cases: a null text has size 0; a null source is a source of its own, sorted last; documents of size 0
-take nothing; equal rows draw equal lots, in any order; an empty table gives an empty result; other columns
+take nothing; very long texts count whole; an empty table gives an empty result; other columns
 are ignored by `mix` and kept by `repeat_documents`. Null doc_ids take part.
 """
 
@@ -16,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from corpuslab.llm.common import WORD, seeded, source_key
+from corpuslab.llm.common import WORD, bucketed_rank, seeded, source_key
 from corpuslab.plans.scratch import cut
 
 SEED = 20240
@@ -59,13 +62,16 @@ def targets(sized: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> DataFram
 
 def sizes(docs: DataFrame, seed: int) -> DataFrame:
     """doc_id, skey, size, lot: the narrow table that the draw is made from."""
-    sized = docs.select("doc_id", source_key(F.col("source")).alias("skey"), word_count(F.col("text")).alias("size"))
-    return sized.withColumn("lot", seeded(seed, F.col("doc_id"), F.col("size")))
+    return docs.select("doc_id", source_key(F.col("source")).alias("skey"), word_count(F.col("text")).alias("size"), lots(seed, docs).alias("lot"))
+
+
+def lots(seed: int, docs: DataFrame):
+    return seeded(seed, docs["doc_id"], word_count(docs["text"]), F.md5(docs["text"]))
 
 
 def plan(sized: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
-    """skey, source_size, target, whole, border: a source takes every document `whole` times, and once more those whose
-    lot is at most `border`. A row for each source.
+    """skey, source_size, target, whole, border, more: a source takes every document `whole` times, and once more those whose
+    lot is less than `border`, and `more` of those whose lot is `border`. A row for each source.
 
     Sums over 256 ranges of lots, then over 256 parts of the range in which the sample ends, leave one of 65,536
     parts of a source to be ordered row by row.
@@ -85,31 +91,45 @@ def plan(sized: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
     inside = sized.join(first.select("skey", "range"), "skey").where(F.col("lot").startswith(F.col("range"))).drop("range")
     second = cut(crossing(inside, first.select("skey", "rest"), 4), "mix2")
     edge = sized.join(second, "skey").where(F.col("lot").startswith(F.col("range")))
-    so_far = F.coalesce(F.sum("size").over(W.partitionBy("skey").orderBy("lot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    taken = edge.withColumn("fits", so_far + F.col("size") / 2 <= F.col("rest")).where("fits").groupBy("skey").agg(F.max("lot").alias("last"))
+    # Equal lots are of equal sizes. A lot's rows are counted before lots are put in order.
+    edge = edge.groupBy("skey", "lot").agg(F.first("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    so_far = F.coalesce(F.sum(F.col("size") * F.col("n")).over(W.partitionBy("skey").orderBy("lot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    fit = F.when(F.col("size") == 0, F.col("n")).otherwise(F.least(F.col("n"), F.floor((F.col("rest") - so_far) / F.col("size") + 0.5)))
+    taken = edge.join(second.select("skey", "rest"), "skey").withColumn("fit", fit).where("fit > 0").groupBy("skey").agg(F.max(F.struct("lot", "fit")).alias("last"))
     # A lot is longer than its leading digits and sorts after them; "g" sorts after all lots.
-    found = second.select("skey", "range").join(taken, "skey", "left").select("skey", F.coalesce("last", "range").alias("found"))
+    found = second.select("skey", "range").join(taken, "skey", "left").select("skey", F.coalesce("last.lot", "range").alias("found"), F.coalesce("last.fit", F.lit(0)).alias("fit"))
     border = F.when(F.col("rest") <= 0, "").otherwise(F.coalesce("found", F.lit("g")))
-    return cut(goal.join(found, "skey", "left").select("skey", "source_size", "target", F.col("whole").cast("long").alias("whole"), border.alias("border")), "mix")
+    columns = ("skey", "source_size", "target", F.col("whole").cast("long").alias("whole"), border.alias("border"), F.coalesce("fit", F.lit(0)).alias("more"))
+    return cut(goal.join(found, "skey", "left").select(*columns), "mix")
+
+
+def repeated(rows: DataFrame) -> DataFrame:
+    """rows (__skey, __lot, __goal.whole, .border, .more) with __times, how often each is taken. Few rows stand at their source's border; they are
+    numbered in parts, since they may be copies of one row."""
+    whole, lot, border = F.col("__goal.whole"), F.col("__lot"), F.col("__goal.border")
+    apart = rows.where(lot != border).withColumn("__times", whole + F.when(lot < border, 1).otherwise(0))
+    at = rows.where(lot == border).withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.xxhash64("__id") % 256)
+    at = bucketed_rank(cut(at, "mix_border"), ["__skey"], "__part", [F.col("__id")], "__rank")
+    at = at.withColumn("__times", whole + F.when(F.col("__rank") <= F.col("__goal.more"), 1).otherwise(0))
+    return apart.unionByName(at.drop("__id", "__part", "__rank"))
 
 
-def repeats():
-    return (F.col("whole") + F.when(F.col("lot") <= F.col("border"), 1).otherwise(0)).cast("long")
+def keyed(goal: DataFrame) -> DataFrame:
+    return goal.select(F.col("skey").alias("__skey"), F.struct("whole", "border", "more", "source_size", "target").alias("__goal"))
 
 
 def mix(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
     """doc_id, size, source_size, target, taken, repeats: for each row of docs (doc_id, source, text)."""
     sized = cut(sizes(docs, seed), "sizes")
-    drawn = sized.join(plan(sized, weights, epochs), "skey").withColumn("repeats", repeats())
+    rows = sized.withColumnsRenamed({"skey": "__skey", "lot": "__lot"}).join(keyed(plan(sized, weights, epochs)), "__skey")
+    drawn = repeated(rows).select("doc_id", "size", "__goal.source_size", "__goal.target", F.col("__times").cast("long").alias("repeats"))
     return drawn.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats")
 
 
 def repeat_documents(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
     """The mixed corpus: each row of docs as often as the mix takes it, with the columns of docs. Only the plan, a row
     for each source, is joined to the texts."""
-    goal = plan(cut(sizes(docs, seed), "sizes"), weights, epochs)
-    goal = goal.select(F.col("skey").alias("__skey"), "whole", "border").select("__skey", F.struct("whole", "border").alias("__plan"))
-    keyed = docs.withColumns({"__skey": source_key(F.col("source")), "__lot": seeded(seed, F.col("doc_id"), word_count(F.col("text")))})
-    times = F.col("__plan.whole") + F.when(F.col("__lot") <= F.col("__plan.border"), 1).otherwise(0)
-    joined = keyed.join(goal, "__skey").withColumn("__k", times.cast("int")).where(F.col("__k") > 0)
-    return joined.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__k")))).select(*[joined[c] for c in docs.columns])
+    goal = keyed(plan(cut(sizes(docs, seed), "sizes"), weights, epochs))
+    rows = docs.withColumns({"__skey": source_key(F.col("source")), "__lot": lots(seed, docs)}).join(goal, "__skey")
+    taken = repeated(rows).where(F.col("__times") > 0)
+    return taken.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*docs.columns)

@@ -68,16 +68,15 @@ QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_token_ids, op3_mixing, op4_
 #: tokeniser of its own: tests/llm holds them against brute force.
 ORACLES: dict[str, str] = {
     "op3_mixing": """
-WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE concat('0', source) END AS skey, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
-l AS (SELECT *, md5(concat_ws('|', '20240', coalesce(doc_id::VARCHAR, '~'), size)) AS lot FROM d),
+WITH d AS (SELECT doc_id, text, CASE WHEN source IS NULL THEN '1' ELSE concat('0', source) END AS skey, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
+l AS (SELECT *, md5(concat_ws('|', '20240', coalesce(doc_id::VARCHAR, '~'), size, coalesce(md5(text), '~'))) AS lot FROM d),
 s AS (SELECT skey, sum(size)::BIGINT AS n, ((row_number() OVER (ORDER BY skey) - 1) % 3 + 1)::DOUBLE AS w FROM d GROUP BY skey),
 o AS (SELECT *, 3.0::DOUBLE * n AS cap, sum(n) OVER ()::DOUBLE AS total, sum(w) OVER () AS all_w, row_number() OVER (ORDER BY 3.0 * n / w, skey) AS k FROM s),
 c AS (SELECT *, (total - coalesce(sum(cap) OVER p, 0)) / (all_w - coalesce(sum(w) OVER p, 0)) AS level FROM o WINDOW p AS (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT skey, n, round(least(cap, w * (SELECT level FROM c WHERE level <= cap / w ORDER BY k LIMIT 1)), 6) AS target FROM c),
 g AS (SELECT *, CASE WHEN n > 0 THEN floor(target / n) ELSE 0 END AS whole, target - CASE WHEN n > 0 THEN floor(target / n) ELSE 0 END * n AS rest FROM t),
-r AS (SELECT l.*, g.n, g.target, g.whole, g.rest, coalesce(sum(l.size) OVER (PARTITION BY l.skey ORDER BY l.lot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + l.size / 2 <= g.rest AND g.rest > 0 AS fits FROM l JOIN g ON g.skey = l.skey),
-b AS (SELECT *, max(lot) FILTER (fits) OVER (PARTITION BY skey) AS border FROM r)
-SELECT doc_id, size, n AS source_size, target, (size * (whole + CASE WHEN lot <= border THEN 1 ELSE 0 END))::BIGINT AS taken FROM b
+r AS (SELECT l.*, g.n, g.target, g.whole, g.rest, sum(l.size) OVER (PARTITION BY l.skey ORDER BY l.lot ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - l.size / 2 <= g.rest AND g.rest > 0 AS fits FROM l JOIN g ON g.skey = l.skey)
+SELECT doc_id, size, n AS source_size, target, (size * (whole + CASE WHEN fits THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
 """,
     "op8_nearest": """
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
