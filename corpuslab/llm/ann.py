@@ -11,7 +11,7 @@ Integer products are taken in float32, where they are exact up to 2**24: any dim
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components take no part, and neither do rows of null id;
 vectors of another dimension than the query's are no candidates; ties go to the smaller id; repeated ids are
-candidates of their own, except for the query's own id; a query repeated with the same vector counts once; fewer candidates than k give fewer rows; an empty
+candidates of their own, except for the query's own id; a query repeated with the same vector counts once, with other vectors once for each; fewer candidates than k give fewer rows; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 K = 20
 #: Queries in a block: with their heaps, what a task keeps in memory.
 BLOCK = 8192
-#: Slices of candidates for each query block; a query leaves one heap in each.
-SLICES = 64
+#: Candidates in a slice, about, and the least number of slices; a query is dealt to each slice and leaves one heap there.
+SLICE, SLICES = 65536, 8
 #: Candidates that pass at once.
 TILE = 2048
 
@@ -47,8 +47,9 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 class Heaps:
     """The k best candidates of each query of one dimension."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
-        self.ids, self.x, self.k = ids, vectors, k
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, k: int):
+        self.ids, self.rows, self.x, self.k = ids, rows, vectors, k
+        self.slack = 4 * (vectors.shape[1] + 4) * 2.0**-52
         self.q, self.scale, self.norm, self.err = quantise(vectors)
         self.exact = np.float32 if vectors.shape[1] <= 1040 else np.float64
         self.q = self.q.astype(self.exact)
@@ -63,7 +64,8 @@ class Heaps:
         for at in range(0, len(self.ids), 1024):
             rows = slice(at, at + 1024)
             near = (self.q[rows] @ c.T).astype(np.float64) * self.scale[rows, None] * scale[None, :]
-            bound = self.norm[rows, None] * err[None, :] + self.err[rows, None] * full[None, :] + 1e-12
+            # What rounding can add, in these products and in the exact ones, is below the last term.
+            bound = self.norm[rows, None] * err[None, :] + self.err[rows, None] * full[None, :] + self.slack * self.full[rows, None] * full[None, :]
             floor = self.best[rows, -1]
             if len(ids) > self.k and np.isneginf(floor).any():  # the k-th best lower bound, one more for the query's own row
                 lower = np.partition(near - bound, len(ids) - self.k - 1, axis=1)[:, len(ids) - self.k - 1]
@@ -90,17 +92,17 @@ class Heaps:
         self.best[touched], self.who[touched] = s[take], w[take]
 
 
-def parse(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(is_query, ids, vectors as float64) for each dimension in the batch."""
+def parse(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(is_query, ids, row numbers, vectors as float64) for each dimension in the batch."""
     lists = batch.column("v")
     sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
     flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    query, ids = batch.column("query").to_numpy(zero_copy_only=False), batch.column("id").to_numpy()
+    query, ids, rows = batch.column("query").to_numpy(zero_copy_only=False), batch.column("id").to_numpy(), batch.column("row").to_numpy()
     out = []
     for d in np.unique(sizes):
         at = np.flatnonzero(sizes == d)
-        out.append((query[at], ids[at], flat[starts[at][:, None] + np.arange(d)[None, :]]))
+        out.append((query[at], ids[at], rows[at], flat[starts[at][:, None] + np.arange(d)[None, :]]))
     return out
 
 
@@ -116,47 +118,51 @@ def slice_search(batches, k: int):
                 offsets = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
                 who = pa.ListArray.from_arrays(offsets, pa.array(h.who[at : at + 2048][mask]))
                 best = pa.ListArray.from_arrays(offsets, pa.array(h.best[at : at + 2048][mask]))
-                yield pa.RecordBatch.from_arrays([pa.array(h.ids[at : at + 2048]), who, best], ["query_id", "ids", "scores"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.ids[at : at + 2048]), pa.array(h.rows[at : at + 2048]), who, best], ["query_id", "row", "ids", "scores"])
 
     group, queries = None, {}
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = batch.column("block").to_numpy() * 65536 + batch.column("slice").to_numpy()
+        keys = (batch.column("block").to_numpy().astype(np.int64) << 32) + batch.column("slice").to_numpy()
         cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
         for lo, hi in zip(cuts[:-1], cuts[1:]):
             if keys[lo] != group:
                 yield from give(queries)
                 group, queries = keys[lo], {}
-            for query, ids, x in parse(batch.slice(lo, hi - lo)):
+            for query, ids, rows, x in parse(batch.slice(lo, hi - lo)):
                 own = queries.setdefault(x.shape[1], [])
                 if query.any():
-                    own.append((ids[query], x[query]))
+                    own.append((ids[query], rows[query], x[query]))
                 ids, x = ids[~query], x[~query]
                 if not len(ids) or not own:
                     continue
                 if not isinstance(own[0], Heaps):
-                    own[:] = [Heaps(np.concatenate([a for a, _ in own]), np.concatenate([b for _, b in own]), k)]
+                    own[:] = [Heaps(*(np.concatenate([o[i] for o in own]) for i in range(3)), k)]
                 for at in range(0, len(ids), TILE):
                     own[0].add(ids[at : at + TILE], x[at : at + TILE])
     yield from give(queries)
 
 
-def nearest(vectors: DataFrame, is_query, k: int = K, block: int = BLOCK, slices: int = SLICES, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = K, block: int = BLOCK, slices: int | None = None, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
     """query_id, rank, vec_id, score. is_query: a condition on the rows of vectors."""
     v = F.transform(F.col(vec), lambda x: x.cast("double"))
     good = F.col(vec).isNotNull() & F.col(key).isNotNull()
     rows = vectors.where(good).select(F.col(key).cast("long").alias("id"), F.col(vec).alias("v"), F.coalesce(is_query, F.lit(False)).alias("query"), v.alias("x"))
     sound = F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("x", lambda x: x != 0)
     rows = rows.where(sound).drop("x")
-    blocks = max(1, math.ceil(rows.where("query").count() / block))
+    counted = rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("query"), 1)).alias("q")).first()
+    blocks = max(1, math.ceil(counted["q"] / block))
+    slices = slices or max(SLICES, math.ceil(counted["n"] / SLICE))
+    # A row's number: rows of one id and other vectors are queries of their own.
+    rows = rows.withColumn("row", F.xxhash64("v"))
     queries = rows.where("query").dropDuplicates(["id", "v"]).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     candidates = rows.withColumn("query", F.lit(False)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("slice", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(slices)).cast("int"))
-    both = queries.unionByName(candidates).select("block", "slice", "query", "id", "v")
+    both = queries.unionByName(candidates).select("block", "slice", "query", "id", "row", "v")
     both = both.repartition("block", "slice").sortWithinPartitions("block", "slice", F.desc("query"))
-    heaps = both.mapInArrow(lambda batches: slice_search(batches, k), "query_id long, ids array<long>, scores array<double>")
+    heaps = both.mapInArrow(lambda batches: slice_search(batches, k), "query_id long, row long, ids array<long>, scores array<double>")
     pairs = F.arrays_zip(F.col("ids"), F.col("scores"))
     ordered = F.transform(pairs, lambda p: F.struct((-p["scores"]).alias("s"), p["ids"].alias("vec_id"), p["scores"].alias("score")))
-    merged = heaps.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list(ordered))), 1, k).alias("top"))
+    merged = heaps.groupBy("query_id", "row").agg(F.slice(F.array_sort(F.flatten(F.collect_list(ordered))), 1, k).alias("top"))
     out = merged.select("query_id", F.posexplode("top").alias("pos", "hit"))
     return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))
