@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuslab.plans.scratch import cut, drop
+from corpuslab.operators.components import components
+from corpuslab.plans.scratch import cut
 
 SHINGLE = 4
 DISTANCE = 4
@@ -165,24 +166,6 @@ def links(nodes: DataFrame, distance: int = DISTANCE, chunk: int = CHUNK) -> Dat
     return grouped.mapInArrow(verify, "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, label: the least node of each node's component, for nodes that have an edge."""
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("node"), "label"), "labels")
-    while True:
-        heard = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("heard"))
-        low = labels.join(heard, F.col("node") == F.col("a"), "left").select("node", "label", F.least("label", "heard").alias("low"))
-        ahead = labels.select(F.col("node").alias("at"), F.col("label").alias("far"))
-        step = low.join(ahead, F.col("low") == F.col("at"), "left").select("node", F.least("low", "far").alias("label"), (F.least("low", "far") != F.col("label")).alias("moved"))
-        step = cut(step, "labels")
-        drop(labels)
-        moved = step.where("moved").limit(1).count()
-        labels = step.drop("moved")
-        labels._corpuslab_path = step._corpuslab_path
-        if not moved:
-            return labels
-
-
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id: for each row of docs (doc_id, text)."""
     own = cut(fingerprints(docs, shingle), "fingerprints")
@@ -199,6 +182,7 @@ def drop_copies(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGL
     the text leave one row; rows of null doc_id can't be told apart and stay."""
     classes = near_duplicates(docs, distance, shingle)
     keep = classes.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__keep")).distinct()
+    # One shuffle by doc_id serves the join and the duplicates.
     kept = docs.join(keep, docs["doc_id"] == F.col("__keep"), "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.where(F.col("doc_id").isNull()))
 
