@@ -43,7 +43,7 @@ BUCKET, BUCKETS, MOST = 400_000, 4096, 2_000_000
 #: How hard blocks are compressed.
 LEVEL = 6
 #: Words whose ids are gathered at once, and ids that are decoded at once.
-STEP = 1 << 20
+STEP = 1 << 18
 #: Bytes of a word above which equal pairs are joined together.
 LONG = 192
 #: An id takes this many bits in a key; the last value stands for no id.
@@ -191,6 +191,11 @@ class Tokenizer:
         return bind(F.transform(F.split(latin, ""), lambda c: F.get(t["bytes"], F.ascii(c))), folded)
 
 
+def lean() -> None:
+    """Called in a worker: memory that arrays leave goes back to the machine, which other workers share."""
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def squeezed(*arrays: np.ndarray) -> bytes:
     """Arrays as bytes: of each array first all lowest bytes, then all second ones, so that the high bytes, mostly zero, stand together."""
     import zstandard
@@ -260,6 +265,7 @@ def blocks(docs: DataFrame, tokenizer: Tokenizer, keep: list[str], limit: int =
     def pack(batches):
         from pyspark import TaskContext
 
+        lean()
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             if not batch.num_rows:
@@ -280,7 +286,6 @@ def blocks(docs: DataFrame, tokenizer: Tokenizer, keep: list[str], limit: int =
                 block += 1
                 del part, lists, coded, index, order, place, sizes, rows, words, data
             del batch
-            pa.default_memory_pool().release_unused()
 
     return docs.select(*keep, tokenizer.words(F.col("text").cast("string")).alias("__words")).mapInArrow(pack, "block long, n long, rows binary, places binary, words binary")
 
@@ -291,6 +296,7 @@ def by_bucket(held: DataFrame, buckets: int) -> DataFrame:
     def deal(batches):
         import pandas as pd
 
+        lean()
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = words_of(*unsqueezed(data.as_py()))
@@ -310,6 +316,7 @@ def word_ids(dealt: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     """block, ids: the ids of a block's words of one bucket, packed with the steps between their places. Each distinct word of a bucket is folded once."""
 
     def meet(table: pa.Table) -> pa.Table:
+        lean()
         parts = [unsqueezed(x.as_py()) for x in table.column("words")]
         coded = pa.concat_arrays([words_of(sizes, data) for _, sizes, data in parts]).dictionary_encode()
         ends = np.cumsum([len(steps) for steps, _, _ in parts])
@@ -319,6 +326,7 @@ def word_ids(dealt: DataFrame, tokenizer: Tokenizer) -> DataFrame:
         return pa.table({"distinct": one(coded.dictionary), "block": one(table.column("block").combine_chunks()), "which": one(pa.array(own, pa.binary()))})
 
     def part(batches):
+        lean()
         for batch in batches:
             for i in range(batch.num_rows):
                 block, which, ids = (batch.column(k)[i].values for k in range(3))
@@ -347,15 +355,16 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, keep: list[str], limit: int =
 
     def gather(left: pa.Table, right: pa.Table) -> pa.Table:
         """left: the one row of a block. right: its words' ids, from each bucket."""
+        lean()
         n, rows, places = (left.column(k)[0].as_py() for k in ("n", "rows", "places"))
         parts = [unsqueezed(x.as_py()) for x in right.column("ids")]
         none = np.zeros(0, dtype=np.int32)
         at = np.concatenate([none, *(np.cumsum(steps) for steps, _, _ in parts)]).astype(np.int64)
         lengths, flat = (np.concatenate([none, *(p[k] for p in parts)]) for k in (1, 2))
-        sizes, begin = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        sizes, begin = np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int32)
         sizes[at], begin[at] = lengths, np.cumsum(lengths) - lengths
         (place,), own = unsqueezed(places), unpacked(rows)
-        after = np.cumsum(sizes[place])
+        after = np.cumsum(sizes[place], dtype=np.int32)
         ends = np.concatenate(([0], np.cumsum(own.column(own.num_columns - 1).to_numpy())))
         offsets = np.concatenate(([0], after))[ends]
         ids = np.empty(offsets[-1], dtype=np.int32)
@@ -363,7 +372,7 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, keep: list[str], limit: int =
             some = place[lo : lo + STEP]
             first, of_word = after[lo - 1] if lo else 0, sizes[some]
             steps = np.cumsum(of_word)
-            ids[first : first + steps[-1]] = flat[np.repeat(begin[some] - steps + of_word, of_word) + np.arange(steps[-1])]
+            ids[first : first + steps[-1]] = flat[np.repeat((begin[some] - steps + of_word).astype(np.int32), of_word) + np.arange(steps[-1], dtype=np.int32)]
         lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
         return pa.table([*own.columns[:-1], lists], [*keep, "ids"])
 
@@ -391,6 +400,7 @@ def decode(coded: DataFrame, tokenizer: Tokenizer, ids: str = "ids") -> DataFram
         return (batch.slice(lo, hi - lo) for lo, hi in zip(ends[:-1], ends[1:]))
 
     def texts(batches):
+        lean()
         for batch in (p for b in batches if b.num_rows for p in parts(b)):
             lists = batch.column(others.index(ids))
             flat, offsets = lists.flatten(), np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))))
