@@ -21,6 +21,7 @@ from __future__ import annotations
 import functools
 import itertools
 import os
+import re
 import struct
 import zlib
 
@@ -38,7 +39,7 @@ KEEP = 0.9
 END = 1
 MAGIC = b"PFR1"
 #: Bytes of text that are encoded at once.
-STEP = 4 << 20
+STEP = 8 << 20
 #: Bytes of words and their ids that a worker remembers.
 MEMORY = 48 << 20
 
@@ -142,13 +143,13 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.parts, self.lowers = self.parts_ascii(), self.lowers_ascii()
+        self.parts, self.lowers, self.plain = self.parts_ascii(), self.lowers_ascii(), self.plain_ascii()
         self.forget()
 
     def parts_ascii(self) -> bool:
         """Whether the tokenizer parts as `spaced` does: each character of ASCII is tried between and beside letters, digits and others."""
         tries = [a + c + b for c in map(chr, range(33, 127)) for a in ("ab", "7", "é", ".", "'", "(") for b in ("cd", "s", "8", "é", "\u0338", ".", "'s")]
-        spaced = self.spaced(pa.array(tries, pa.large_string())).to_pylist()
+        spaced = self.spaced(pa.array(tries, pa.string())).to_pylist()
         return all(self.tokenizer.encode(x, add_special_tokens=False).ids == self.tokenizer.encode(y, add_special_tokens=False).ids for x, y in zip(tries, spaced))
 
     def lowers_ascii(self) -> bool:
@@ -156,6 +157,13 @@ class Encoder:
         tries = [f"{a}{b}" for a in map(chr, range(65, 91)) for b in ("", *map(chr, range(65, 91)))] + ["'S", "I'LL", "A.B"]
         return all(self.tokenizer.encode(x, add_special_tokens=False).ids == self.tokenizer.encode(x.lower(), add_special_tokens=False).ids for x in tries)
 
+    def plain_ascii(self) -> bool:
+        """Whether the model alone gives the ids of words of small ASCII letters: tried on pairs and triples of them, and on the vocabulary's own words."""
+        few = "aeinstxz"
+        tries = [a + b for a in map(chr, range(97, 123)) for b in map(chr, range(97, 123))] + [a + b + c for a in few for b in few for c in few]
+        tries += [w for w in (re.sub("[^a-z]", "", x) for x in itertools.islice(sorted(self.tokenizer.get_vocab()), 0, None, 25)) if w]
+        return self.ids_of(tries, [True] * len(tries)) == self.ids_of(tries, [False] * len(tries))
+
     def spaced(self, texts: pa.Array) -> pa.Array:
         """Texts with white space between an ASCII letter and ASCII punctuation after it, between punctuation but an apostrophe and an ASCII letter after
         it, and around ASCII digits. Texts that hold a special token stay as they are."""
@@ -167,17 +175,24 @@ class Encoder:
 
     def forget(self) -> None:
         """Known words, and where the ids of each begin in one run of ids."""
-        self.words, self.flat, self.begin = pa.array([], pa.large_string()), np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
+        self.words, self.flat, self.begin = pa.array([], pa.string()), np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int32)
+
+    def ids_of(self, words: list[str], plain: list[bool]) -> list[list[int]]:
+        """The ids of each word. Plain words are one piece to the tokenizer already, so its model takes them as they are."""
+        rest = iter(self.tokenizer.encode_batch_fast([w for w, p in zip(words, plain) if not p], add_special_tokens=False))
+        model = self.tokenizer.model.tokenize
+        return [[t.id for t in model(w)] if p else next(rest).ids for w, p in zip(words, plain)]
 
     def learn(self, words: pa.Array) -> None:
         ids, sizes = [], []
+        plain = pc.match_substring_regex(words, "^[a-z]+$") if self.plain else pa.array(np.zeros(len(words), dtype=bool))
         for at in range(0, len(words), 4096):
-            own = [e.ids for e in self.tokenizer.encode_batch_fast(words.slice(at, 4096).to_pylist(), add_special_tokens=False)]
+            own = self.ids_of(words.slice(at, 4096).to_pylist(), plain.slice(at, 4096).to_pylist())
             sizes.extend(map(len, own))
             ids.append(np.fromiter(itertools.chain.from_iterable(own), dtype=np.uint32))
         self.words = pa.concat_arrays([self.words, words])
         self.flat = np.concatenate((self.flat, *ids))
-        self.begin = np.concatenate((self.begin, self.begin[-1] + np.cumsum(np.array(sizes, dtype=np.int64))))
+        self.begin = np.concatenate((self.begin, self.begin[-1] + np.cumsum(np.array(sizes, dtype=np.int32), dtype=np.int32)))
 
     def places(self, words: pa.Array) -> np.ndarray:
         """The number of each word among the known ones; unknown words are learned first."""
@@ -188,16 +203,16 @@ class Encoder:
             if self.words.nbytes + self.flat.nbytes + self.begin.nbytes + unknown.nbytes > MEMORY:
                 self.forget()
                 self.learn(words)
-                return np.arange(len(words))
+                return np.arange(len(words), dtype=np.int32)
             self.learn(unknown)
-            out = pc.fill_null(found, 0).to_numpy().astype(np.int64)
-            out[new.to_numpy(zero_copy_only=False)] = len(self.words) - len(unknown) + np.arange(len(unknown))
+            out = pc.fill_null(found, 0).to_numpy().copy()
+            out[new.to_numpy(zero_copy_only=False)] = len(self.words) - len(unknown) + np.arange(len(unknown), dtype=np.int32)
             return out
-        return found.to_numpy().astype(np.int64)
+        return found.to_numpy()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and the number of each text's ids. Null counts as empty."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = pc.fill_null(texts, "")
         lists = pc.ascii_split_whitespace(self.spaced(texts) if self.parts else texts)
         # White space around a text leaves empty words, which have no ids.
         ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
@@ -206,12 +221,12 @@ class Encoder:
         if self.lowers:
             words = pc.if_else(pc.string_is_ascii(words), pc.ascii_lower(words), words)
         distinct = words.dictionary_encode()
-        place = self.places(distinct.dictionary)[distinct.indices.to_numpy()][coded.indices.to_numpy()]
-        begin = self.begin[place]
-        n = self.begin[place + 1] - begin
-        after = np.concatenate(([0], np.cumsum(n)))
-        at = np.repeat(begin - after[:-1], n) + np.arange(after[-1])
-        return self.flat[at], np.diff(after[ends])
+        own = self.places(distinct.dictionary)[distinct.indices.to_numpy()]
+        index = coded.indices.to_numpy()
+        begin, n = self.begin[own][index], (self.begin[own + 1] - self.begin[own])[index]
+        after = np.concatenate((np.zeros(1, dtype=np.int32), np.cumsum(n, dtype=np.int32)))
+        at = np.repeat(begin - after[:-1], n) + np.arange(after[-1], dtype=np.int32)
+        return self.flat[at], np.diff(after[ends]).astype(np.int64)
 
 
 _ENCODERS: dict[str, Encoder] = {}
