@@ -3,11 +3,14 @@
 A page is cut into blocks at block-level tags. A block's features are its words and link density, those of the blocks before
 and after it, and what it stands in: an article, a part that holds menus, headers, footers, sidebars, forms or the
 like by its tag, or one that says so in its class or id. An article within a part so named starts anew, unless the part lists other
-articles; headings are not judged by their own names. The tree, fitted from TABLE, keeps or drops each block.
+articles; headings are not judged by their own names. The tree, fitted from TABLE, keeps or drops each block. No flag decides alone: menus
+without a name fall by their link density inside an article too, running text within a form that wraps a page stays by its own and its
+neighbours' words, and where no article is marked, words and links decide.
 
 Edge cases: null or empty html gives an empty text; unclosed tags are closed as browsers close them; an unclosed comment, script or
-style runs to the end; a tag without its end is text; repeated pages are treated alike; an empty table gives an empty
-result; other columns are ignored. Work grows in proportion to a page's length.
+style runs to the end; a tag without its end is text; once a quote in a tag is left open, quotes in later tags of the page hide nothing; repeated
+pages are treated alike; an empty table gives an empty result; other columns are ignored. Work grows in proportion to a page's length,
+however deep its elements and whatever is left open: where open elements stand is kept by tag.
 """
 
 from __future__ import annotations
@@ -63,6 +66,9 @@ TABLE = (
     ((8, 0.0, 60, 0.0, 60, 0.0, 1, 0, 1, 0, 1), 0), ((40, 0.0, 60, 0.0, 60, 0.0, 1, 0, 1, 0, 1), 0), ((5, 1.0, 60, 0.0, 60, 0.0, 1, 1, 0, 0, 1), 0),
     ((25, 0.0, 60, 0.0, 5, 0.0, 1, 1, 0, 0, 1), 0), ((90, 0.1, 60, 0.0, 60, 0.0, 1, 0, 1, 0, 1), 0), ((90, 0.0, 10, 0.0, 9, 0.0, 1, 1, 0, 0, 1), 0),
     ((4, 0.0, 30, 0.0, 30, 0.0, 1, 1, 0, 1, 1), 0), ((4, 0.0, 30, 0.0, 30, 0.0, 1, 0, 1, 1, 1), 0), ((2, 0.0, 8, 0.0, 3, 0.0, 1, 1, 1, 0, 1), 0),
+    # menus without a name in an article, and a link among its paragraphs
+    ((2, 1.0, 2, 1.0, 2, 1.0, 1, 0, 0, 0, 1), 0), ((3, 1.0, 1, 1.0, 2, 1.0, 1, 0, 0, 0, 1), 0), ((1, 1.0, 2, 1.0, 1, 1.0, 1, 0, 0, 0, 1), 0), ((4, 0.9, 3, 1.0, 5, 0.9, 1, 0, 0, 0, 1), 0),
+    ((8, 1.0, 30, 0.0, 25, 0.1, 1, 0, 0, 0, 1), 1), ((3, 1.0, 12, 0.0, 60, 0.0, 1, 0, 0, 0, 1), 1), ((5, 1.0, 2, 0.0, 40, 0.0, 1, 0, 0, 0, 1), 1), ((4, 0.8, 70, 0.0, 9, 0.0, 1, 0, 0, 0, 1), 1),
     # outside the article of a page that marks one
     ((1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 0, 1), 0), ((8, 0.0, 1, 1.0, 9, 0.0, 0, 0, 1, 0, 1), 0), ((12, 0.1, 90, 0.0, 0, 0.0, 0, 1, 0, 0, 1), 0),
     ((60, 0.0, 10, 0.0, 80, 0.0, 0, 0, 0, 0, 1), 0), ((5, 0.0, 4, 0.5, 60, 0.0, 0, 0, 0, 1, 1), 0), ((30, 0.2, 0, 0.0, 30, 0.0, 0, 0, 0, 0, 1), 0),
@@ -77,6 +83,16 @@ TABLE = (
     # a page without an article: short text among short and long text
     ((5, 0.0, 40, 0.0, 15, 0.0, 0, 0, 0, 0, 0), 1), ((7, 0.0, 30, 0.0, 12, 0.0, 0, 0, 0, 0, 0), 1), ((4, 0.0, 18, 0.0, 16, 0.0, 0, 0, 0, 0, 0), 1),
     ((3, 0.0, 25, 0.0, 18, 0.0, 0, 0, 0, 1, 0), 1), ((6, 0.0, 14, 0.0, 20, 0.0, 0, 0, 0, 0, 0), 1), ((5, 0.0, 60, 0.0, 10, 0.0, 0, 0, 0, 1, 0), 1),
+    # a page without an article that is wrapped in a form: running text among running text
+    ((120, 0.0, 100, 0.0, 90, 0.0, 0, 1, 0, 0, 0), 1), ((90, 0.0, 120, 0.1, 110, 0.0, 0, 1, 0, 0, 0), 1), ((150, 0.1, 95, 0.0, 130, 0.0, 0, 1, 0, 0, 0), 1), ((100, 0.0, 140, 0.0, 85, 0.0, 0, 1, 0, 0, 0), 1),
+    # footers, sidebars and notices beside running text, by their tag
+    ((8, 0.0, 124, 0.0, 0, 0.0, 0, 1, 0, 0, 1), 0), ((14, 0.0, 188, 0.0, 0, 0.0, 0, 1, 0, 0, 1), 0), ((15, 0.0, 652, 0.0, 0, 0.0, 0, 1, 0, 0, 1), 0), ((40, 0.0, 300, 0.0, 90, 0.0, 0, 1, 0, 0, 1), 0),
+    ((110, 0.0, 140, 0.0, 120, 0.0, 0, 1, 0, 0, 1), 0), ((95, 0.0, 150, 0.0, 130, 0.0, 1, 1, 0, 0, 1), 0), ((10, 0.0, 130, 0.0, 0, 0.0, 0, 1, 0, 0, 0), 0), ((30, 0.0, 150, 0.0, 0, 0.0, 0, 1, 0, 0, 0), 0),
+    ((45, 0.0, 400, 0.0, 30, 0.0, 0, 1, 0, 0, 0), 0), ((60, 0.0, 200, 0.0, 100, 0.0, 0, 1, 0, 0, 0), 0), ((20, 0.1, 110, 0.0, 95, 0.0, 0, 1, 0, 0, 0), 0), ((12, 0.3, 500, 0.0, 4, 1.0, 0, 1, 0, 0, 0), 0),
+    ((120, 0.0, 60, 0.0, 0, 0.0, 0, 1, 0, 0, 0), 0), ((100, 0.0, 10, 0.0, 8, 0.0, 0, 1, 0, 0, 0), 0), ((200, 0.1, 90, 0.0, 3, 1.0, 0, 1, 0, 0, 0), 0), ((90, 0.0, 30, 0.0, 20, 0.0, 0, 1, 0, 0, 0), 0),
+    # a page of little text altogether
+    ((2, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 0), 1), ((6, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 0), 1), ((12, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 0), 1), ((4, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1, 0), 1),
+    ((3, 1.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 0), 0), ((6, 0.9, 0, 0.0, 2, 1.0, 0, 0, 0, 0, 0), 0), ((5, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 0, 0), 0), ((7, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1, 0, 0), 0),
     # a page without an article: lists of links, lone short text, and parts of another kind
     ((2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0), 0), ((10, 0.9, 3, 1.0, 60, 0.0, 0, 0, 0, 0, 0), 0), ((4, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0), 0),
     ((30, 0.8, 40, 0.0, 5, 0.7, 0, 0, 0, 0, 0), 0), ((6, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 0, 0), 0), ((8, 0.6, 20, 0.0, 20, 0.0, 0, 0, 0, 0, 0), 0),
@@ -132,8 +148,8 @@ def keeps(node: Node, row) -> bool:
     return node.keep
 
 
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>")
-_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -151,24 +167,91 @@ class Block:
     links: float = 0.0
 
 
+@dataclass
+class Open:
+    """An open element: its tag, and whether what stands in it is in an article, a part of another kind, a marked part (as mark() says), a
+    heading, or hidden; the innermost two of its articles and parts of other kinds, and the number of the latter."""
+
+    tag: str = ""
+    article: bool = False
+    boiler: bool = False
+    marked: int = 0
+    heading: bool = False
+    hidden: bool = False
+    inner: tuple[str, str] = ("", "")
+    parts: int = 0
+
+
+class Stack:
+    """Open elements, and for each tag where those of it stand: closing one looks at no other."""
+
+    def __init__(self):
+        self.items, self.at = [Open()], {}
+
+    def push(self, item: Open) -> None:
+        self.at.setdefault(item.tag, []).append(len(self.items))
+        self.items.append(item)
+
+    def last(self, tag: str) -> int:
+        where = self.at.get(tag)
+        return where[-1] if where else 0
+
+    def close(self, tag: str, stop: tuple = ()) -> None:
+        """Closes the innermost element of a tag and all within it, unless it stands beyond one of the tags to stop at."""
+        where = self.last(tag)
+        if where and all(self.last(x) < where for x in stop):
+            for item in self.items[where:]:
+                self.at[item.tag].pop()
+            del self.items[where:]
+
+
+class Tags:
+    """Where tags of a page end."""
+
+    def __init__(self, page: str):
+        self.page, self.quotes = page, True
+        self.last = page.rfind(">")
+
+    def end(self, at: int) -> int:
+        """The place of the > that ends the tag whose name ends here; -1 without one."""
+        if at > self.last:
+            return -1
+        where = at
+        while self.quotes:
+            found = _STOP.search(self.page, where)
+            if found is None or found[0] == ">":
+                where = found.start() if found else -1
+                break
+            where = self.page.find(found[0], found.end()) + 1
+            if not where:
+                break
+        if self.quotes and where > 0:
+            return where
+        # A quote that is left open: each such search runs to the end of the page, so there is only one.
+        self.quotes = False
+        return self.page.find(">", at)
+
+
+CELLS = ("td", "th", "button")
+
+
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order; those without text are left out."""
     found: list[Block] = []
-    # Open elements: tag, and whether below it lies an article, a part of another kind, a marked part (as mark() says), a heading, hidden text.
-    stack: list[tuple[str, bool, bool, int, bool, bool]] = [("", False, False, 0, False, False)]
+    stack, tags = Stack(), Tags(page)
     current: Block | None = None
     anchors = 0
     at, n = 0, len(page)
 
     def text(value: str) -> None:
         nonlocal current
-        if stack[-1][5] or not value:
+        top = stack.items[-1]
+        if top.hidden or not value:
             return
         if current is None:
             if value.isspace():
                 return
-            _, article, boiler, marked, heading, _ = stack[-1]
-            current = Block(article, boiler, marked > 0, heading)
+            current = Block(top.article, top.boiler, top.marked > 0, top.heading)
         current.parts.append(value)
         if anchors:
             current.linked.append(value)
@@ -184,14 +267,6 @@ def blocks(page: str) -> list[Block]:
                 found.append(current)
         current = None
 
-    def close(tag: str, stop: frozenset = frozenset()) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] == tag:
-                del stack[k:]
-                return
-            if stack[k][0] in stop:
-                return
-
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
@@ -207,70 +282,75 @@ def blocks(page: str) -> list[Block]:
             end = page.find(">", lt)
             at = n if end < 0 else end + 1
             continue
-        m = _TAG.match(page, lt) or _PLAIN_TAG.match(page, lt)
-        if m is None:
+        m = _NAME.match(page, lt)
+        end = tags.end(m.end()) if m else -1
+        if end < 0:
             text("<")
             at = lt + 1
             continue
-        at = m.end()
+        rest, at = page[m.end() : end], end + 1
         tag = m[2].lower()
         if m[1]:
             if tag in BLOCK:
                 end_block()
             if tag == "a":
                 anchors = max(0, anchors - 1)
-            close(tag)
+            stack.close(tag)
             continue
         if tag in BLOCK:
             end_block()
             anchors = 0
             if tag in CLOSES_P:
-                close("p", frozenset(("td", "th", "button", "li")) if tag != "p" else frozenset(("td", "th", "button")))
+                stack.close("p", CELLS if tag == "p" else (*CELLS, "li"))
             if tag == "li":
-                close("li", frozenset(("ul", "ol", "menu")))
+                stack.close("li", ("ul", "ol", "menu"))
             elif tag in ("dd", "dt"):
-                close("dd", frozenset(("dl",)))
-                close("dt", frozenset(("dl",)))
+                stack.close("dd", ("dl",))
+                stack.close("dt", ("dl",))
             elif tag in ("td", "th"):
-                close("td", frozenset(("tr", "table")))
-                close("th", frozenset(("tr", "table")))
+                stack.close("td", ("tr", "table"))
+                stack.close("th", ("tr", "table"))
             elif tag == "tr":
-                close("tr", frozenset(("table",)))
+                stack.close("tr", ("table",))
         if tag == "a":
             anchors += 1
         if tag == "body":
-            close("head")
+            stack.close("head")
         if tag == "br":
             text(" ")
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
-            if end is None:
-                at = n
-            else:
-                stop = page.find(">", end.end())
-                at = n if stop < 0 else stop + 1
+            last = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+            stop = page.find(">", last.end()) if last else -1
+            at = n if stop < 0 else stop + 1
             continue
-        if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCK:
+        if tag in VOID or rest.rstrip().endswith("/") and tag not in BLOCK:
             continue
-        _, article, boiler, marked, heading, hidden = stack[-1]
-        named = {}
-        for a in _ATTRIBUTE.finditer(m[3]):
-            named.setdefault(a[1].lower(), a[2] or a[3] or a[4] or "")
-        own = 0 if tag in ("html", "body") or tag in HEADING else max(map(mark, (x for k in ("class", "id", "role") for x in named.get(k, "").split())), default=0)
-        root = tag in ARTICLE or named.get("role") == "main"
-        titled = tag in HEADING and in_title(stack)
-        if titled:
-            marked = stack[max(k for k, x in enumerate(stack) if x[0] == "header") - 1][3]
-        elif root and (tag == "main" or marked < 2):
-            marked = 0
-            own = own if own == 2 else 0
-        stack.append((
-            tag, article or root, (boiler or tag in BOILER) and not titled, max(marked, own), heading or tag in HEADING, hidden or tag in SKIP,
-        ))
+        stack.push(opened(tag, rest, stack))
     end_block()
     return found
 
 
+def opened(tag: str, rest: str, stack: Stack) -> Open:
+    """The element that a start tag opens. rest: its attributes."""
+    top = stack.items[-1]
+    named: dict[str, str] = {}
+    for a in _ATTRIBUTE.finditer(rest):
+        named.setdefault(a[1].lower(), a[2] or a[3] or a[4] or "")
+    unnamed = tag in ("html", "body") or tag in HEADING
+    own = 0 if unnamed else max(map(mark, (x for k in ("class", "id", "role") for x in named.get(k, "").split())), default=0)
+    root = tag in ARTICLE or named.get("role") == "main"
+    # The innermost part of another kind is a header within an article: its headings belong to the article.
+    titled = tag in HEADING and top.parts == 1 and top.inner[1] == "header" and top.inner[0] in ARTICLE
+    marked = top.marked
+    if titled:
+        marked = stack.items[stack.last("header") - 1].marked
+    elif root and (tag == "main" or marked < 2):
+        marked, own = 0, own if own == 2 else 0
+    other = tag in BOILER
+    inner = (top.inner[1], tag) if other or tag in ARTICLE else top.inner
+    return Open(tag, top.article or root, (top.boiler or other) and not titled, max(marked, own), top.heading or tag in HEADING, top.hidden or tag in SKIP, inner, top.parts + other)
+
+
 def mark(name: str) -> int:
     """Of one class, id or role: 0, or 1 if it marks what is not the article, or 2 if it marks a list of other articles."""
     parts = {p.lower() for p in _PART.findall(name)}
@@ -279,12 +359,6 @@ def mark(name: str) -> int:
     return 2 if parts & LISTS else 1
 
 
-def in_title(stack: list[tuple]) -> bool:
-    """Whether the innermost part of another kind is a header within an article: its headings belong to the article."""
-    inner = [t for t, *_ in stack if t in BOILER or t in ARTICLE]
-    return len(inner) > 1 and inner[-1] == "header" and inner[-2] in ARTICLE and sum(t in BOILER for t in inner) == 1
-
-
 def rows_of(found: list[Block]) -> list[tuple]:
     """The features of each block. A page whose articles hold little of its running text is one without."""
     running = [b for b in found if not b.boiler and not b.marked and b.links < 0.5]
