@@ -105,19 +105,10 @@ def _(spark, sf):
     return A.persistently_refused(V.v_manifest(spark, sf))
 
 
-@query("jn17_meta_by_stem", "SELECT regexp_replace(url, '^.*/', '') AS stem, page_id FROM pages WHERE regexp_replace(url, '^.*/', '') LIKE '%.html' AND page_id % 2 = 0")
-def _(spark, sf):
-    from corpuslab.functions.scalars import basename
-
-    p = V.table(spark, sf, "pages").select("page_id", basename(F.col("url")).alias("stem"))
-    meta = p.where("page_id % 2 = 0").select("page_id")
-    return p.where(F.col("stem").endswith(".html")).join(meta, "page_id").select("stem", "page_id")
-
-
 _BASE = "p AS (SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^.*/', '') AS base FROM pages)"
 
 
-@query("jn17_meta_by_stem_all", f"WITH {_BASE}, f AS (SELECT page_id, regexp_replace(base, '[.]html$', '') AS stem FROM p WHERE base LIKE '%.html'), m AS (SELECT base AS stem, min(page_id) AS meta_id FROM p WHERE base NOT LIKE '%.html' GROUP BY 1) SELECT stem, page_id, meta_id, meta_id IS NULL AS missing FROM f LEFT JOIN m USING (stem)")
+@query("jn17_meta_by_stem", f"WITH {_BASE}, f AS (SELECT page_id, regexp_replace(base, '[.]html$', '') AS stem FROM p WHERE base LIKE '%.html'), m AS (SELECT base AS stem, min(page_id) AS meta_id FROM p WHERE base NOT LIKE '%.html' GROUP BY 1) SELECT stem, page_id, meta_id, meta_id IS NULL AS missing FROM f LEFT JOIN m USING (stem)")
 def _(spark, sf):
     from corpuslab.functions.scalars import basename
 
@@ -144,16 +135,7 @@ def _(spark, sf):
     return p.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("y_true") == F.col("y_pred")).cast("double")), 9).alias("exact")).where("n >= 30")
 
 
-@query("fid3_matched_draws", sql("v_pred", body="SELECT draw, round(100 * (max(m) - min(m)) / 3, 9) AS scope FROM (SELECT draw, y_true, avg(y_pred) AS m FROM (SELECT d AS draw, y_true, y_pred, row_number() OVER (PARTITION BY d, y_true ORDER BY md5(concat_ws('|', d, ord)), ord) AS rn FROM v_pred, range(4) r(d) WHERE event_id < 2000) WHERE rn <= 25 GROUP BY 1, 2) GROUP BY 1"))
-def _(spark, sf):
-    from corpuslab.operators.mixing import permutation
-
-    p = V.v_pred(spark, sf).where("event_id < 2000").select("ord", "y_true", "y_pred").withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))))
-    picked = permutation(p, F.col("draw"), ["draw", "y_true"]).where("rn < 25").withColumn("n", F.lit(1))
-    return A.scope(picked, ["draw"]).select("draw", F.round("scope", 9).alias("scope"))
-
-
-@query("fid3_matched_draws_all", sql("v_pred", body="SELECT draw, round(100 * (max(m) - min(m)) / 3, 9) AS scope FROM (SELECT draw, y_true, avg(y_pred) AS m FROM (SELECT d AS draw, y_true, y_pred, row_number() OVER (PARTITION BY d, y_true ORDER BY md5(concat_ws('|', d, ord)), ord) AS rn FROM v_pred, range(4) r(d)) WHERE rn <= 25 GROUP BY 1, 2) GROUP BY 1"))
+@query("fid3_matched_draws", sql("v_pred", body="SELECT draw, round(100 * (max(m) - min(m)) / 3, 9) AS scope FROM (SELECT draw, y_true, avg(y_pred) AS m FROM (SELECT d AS draw, y_true, y_pred, row_number() OVER (PARTITION BY d, y_true ORDER BY md5(concat_ws('|', d, ord)), ord) AS rn FROM v_pred, range(4) r(d)) WHERE rn <= 25 GROUP BY 1, 2) GROUP BY 1"))
 def _(spark, sf):
     from corpuslab.operators.mixing import permutation
 

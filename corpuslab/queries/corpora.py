@@ -205,14 +205,7 @@ def _(spark, sf):
     return n.withColumn("place", F.row_number().over(W.orderBy(F.asc_nulls_first("k"))))
 
 
-@query("srt3_largest_groups_first", sql("v_docs", body="SELECT grp, size, row_number() OVER (ORDER BY size DESC, md5(concat_ws('|', 5, grp)), grp)::INT AS place FROM (SELECT grp, count(*) AS size FROM v_docs GROUP BY 1) ORDER BY place LIMIT 50"))
-def _(spark, sf):
-    g = V.v_docs(spark, sf).groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
-    top = g.orderBy(F.desc("size"), order_key(5, F.col("grp")), "grp").limit(50)
-    return top.withColumn("place", F.row_number().over(W.orderBy(F.desc("size"), order_key(5, F.col("grp")), "grp")))
-
-
-@query("srt3_largest_groups_first_all", sql("v_docs", body="SELECT grp, size, row_number() OVER (ORDER BY size DESC, md5(concat_ws('|', 5, grp)), grp) AS place FROM (SELECT grp, count(*) AS size FROM v_docs GROUP BY 1)"))
+@query("srt3_largest_groups_first", sql("v_docs", body="SELECT grp, size, row_number() OVER (ORDER BY size DESC, md5(concat_ws('|', 5, grp)), grp) AS place FROM (SELECT grp, count(*) AS size FROM v_docs GROUP BY 1)"))
 def _(spark, sf):
     g = V.v_docs(spark, sf).groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
     return C.numbered(g, [F.desc("size"), order_key(5, F.col("grp")), F.col("grp")])
@@ -243,14 +236,7 @@ def _(spark, sf):
     return m.select("source", "lang", "n", F.round("m", 6).alias("mean"), F.row_number().over(W.orderBy(F.desc("m"), "source", "lang")).alias("place"))
 
 
-@query("set1_concat", sql("v_corpus", body="SELECT row_number() OVER (ORDER BY part, ord)::INT AS place, path FROM (SELECT 0 AS part, * FROM v_corpus WHERE source = 'real' UNION ALL SELECT 1, * FROM v_corpus WHERE source = 'synth_open') ORDER BY place LIMIT 200"))
-def _(spark, sf):
-    c = V.v_corpus(spark, sf)
-    both = C.concat(C.real(c), C.matching(c, source="synth_open")).orderBy("part", "ord").limit(200)
-    return both.select(F.row_number().over(W.orderBy("part", "ord")).alias("place"), "path")
-
-
-@query("set1_concat_all", sql("v_corpus", body="SELECT row_number() OVER (ORDER BY part, ord) AS place, path FROM (SELECT 0 AS part, * FROM v_corpus WHERE source = 'real' UNION ALL SELECT 1, * FROM v_corpus WHERE source = 'synth_open')"))
+@query("set1_concat", sql("v_corpus", body="SELECT row_number() OVER (ORDER BY part, ord) AS place, path FROM (SELECT 0 AS part, * FROM v_corpus WHERE source = 'real' UNION ALL SELECT 1, * FROM v_corpus WHERE source = 'synth_open')"))
 def _(spark, sf):
     c = V.v_corpus(spark, sf).select("ord", "path", "label", "source")
     both = C.concat(C.real(c), C.matching(c, source="synth_open"))

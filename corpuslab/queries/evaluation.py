@@ -119,39 +119,22 @@ def _accuracy(cells, by):
     return cells.groupBy(*by).agg(F.try_divide(hit, F.sum("n")).alias("value"))
 
 
-_SMALL = "q AS (SELECT ord, y_true, y_pred, (CASE WHEN ord % 3 = 0 THEN y_true ELSE y_pred END)::INT AS y_b, row_number() OVER (ORDER BY ord) - 1 AS i FROM v_pred WHERE event_id < 400), s AS (SELECT count(*) AS n FROM q), b AS (SELECT draw, q.* FROM range(200) d(draw), range(400) r(j), s JOIN q ON q.i = " + D("s.n", "{seed}", "draw", "r.j") + " WHERE r.j < s.n)"
-#: The same over all rows: the draws' places are the rows themselves.
-_ALL = _SMALL.replace(" WHERE event_id < 400", "").replace("range(400) r(j)", "q r").replace("r.j", "r.i").replace(" WHERE r.i < s.n", "")
+#: Each draw takes n places, so its n-th place stands beside the n-th row.
+_ALL = "q AS (SELECT ord, y_true, y_pred, (CASE WHEN ord % 3 = 0 THEN y_true ELSE y_pred END)::INT AS y_b, row_number() OVER (ORDER BY ord) - 1 AS i FROM v_pred), s AS (SELECT count(*) AS n FROM q), b AS (SELECT draw, q.* FROM range(200) d(draw), q r, s JOIN q ON q.i = " + D("s.n", "{seed}", "draw", "r.i") + ")"
 
 
-@query("sta2_bootstrap_metric", _with(_SMALL.format(seed=3), ", v AS (SELECT avg((y_true = y_pred)::INT::DOUBLE) AS x FROM b GROUP BY draw) SELECT round((SELECT avg((y_true = y_pred)::INT::DOUBLE) FROM q), 6) AS point, round(quantile_cont(x, 0.025), 6) AS lo, round(quantile_cont(x, 0.975), 6) AS hi FROM v"))
-def _(spark, sf):
-    return T.bootstrap_metric(pred(spark, sf).where("event_id < 400"), _accuracy, 200, 3).select(*[F.round(c, 6).alias(c) for c in ("point", "lo", "hi")])
-
-
-@query("sta2_bootstrap_metric_all", _with(_ALL.format(seed=3), ", v AS (SELECT avg((y_true = y_pred)::INT::DOUBLE) AS x FROM b GROUP BY draw) SELECT round((SELECT avg((y_true = y_pred)::INT::DOUBLE) FROM q), 6) AS point, round(quantile_cont(x, 0.025), 6) AS lo, round(quantile_cont(x, 0.975), 6) AS hi FROM v"))
+@query("sta2_bootstrap_metric", _with(_ALL.format(seed=3), ", v AS (SELECT avg((y_true = y_pred)::INT::DOUBLE) AS x FROM b GROUP BY draw) SELECT round((SELECT avg((y_true = y_pred)::INT::DOUBLE) FROM q), 6) AS point, round(quantile_cont(x, 0.025), 6) AS lo, round(quantile_cont(x, 0.975), 6) AS hi FROM v"))
 def _(spark, sf):
     return T.bootstrap_metric(pred(spark, sf), _accuracy, 200, 3).select(*[F.round(c, 6).alias(c) for c in ("point", "lo", "hi")])
 
 
-@query("sta3_paired_bootstrap", _with(_SMALL.format(seed=4), ", v AS (SELECT avg((y_true = y_b)::INT::DOUBLE) - avg((y_true = y_pred)::INT::DOUBLE) AS x FROM b GROUP BY draw) SELECT round((SELECT avg((y_true = y_b)::INT::DOUBLE) - avg((y_true = y_pred)::INT::DOUBLE) FROM q), 6) AS point, round(quantile_cont(x, 0.025), 6) AS lo, round(quantile_cont(x, 0.975), 6) AS hi, round(least(1.0::DOUBLE, 2 * least(avg((x <= 0)::INT::DOUBLE), avg((x >= 0)::INT::DOUBLE))), 6) AS p FROM v"))
-def _(spark, sf):
-    p = pred(spark, sf).where("event_id < 400").select("ord", "y_true", F.col("y_pred").alias("y_pred_a"), F.when(F.col("ord") % 3 == 0, F.col("y_true")).otherwise(F.col("y_pred")).alias("y_pred_b"))
-    return T.paired_bootstrap(p, _accuracy, 200, 4).select(*[F.round(c, 6).alias(c) for c in ("point", "lo", "hi", "p")])
-
-
-@query("sta3_paired_bootstrap_all", _with(_ALL.format(seed=4), ", v AS (SELECT avg((y_true = y_b)::INT::DOUBLE) - avg((y_true = y_pred)::INT::DOUBLE) AS x FROM b GROUP BY draw) SELECT round((SELECT avg((y_true = y_b)::INT::DOUBLE) - avg((y_true = y_pred)::INT::DOUBLE) FROM q), 6) AS point, round(quantile_cont(x, 0.025), 6) AS lo, round(quantile_cont(x, 0.975), 6) AS hi, round(least(1.0::DOUBLE, 2 * least(avg((x <= 0)::INT::DOUBLE), avg((x >= 0)::INT::DOUBLE))), 6) AS p FROM v"))
+@query("sta3_paired_bootstrap", _with(_ALL.format(seed=4), ", v AS (SELECT avg((y_true = y_b)::INT::DOUBLE) - avg((y_true = y_pred)::INT::DOUBLE) AS x FROM b GROUP BY draw) SELECT round((SELECT avg((y_true = y_b)::INT::DOUBLE) - avg((y_true = y_pred)::INT::DOUBLE) FROM q), 6) AS point, round(quantile_cont(x, 0.025), 6) AS lo, round(quantile_cont(x, 0.975), 6) AS hi, round(least(1.0::DOUBLE, 2 * least(avg((x <= 0)::INT::DOUBLE), avg((x >= 0)::INT::DOUBLE))), 6) AS p FROM v"))
 def _(spark, sf):
     p = pred(spark, sf).select("ord", "y_true", F.col("y_pred").alias("y_pred_a"), F.when(F.col("ord") % 3 == 0, F.col("y_true")).otherwise(F.col("y_pred")).alias("y_pred_b"))
     return T.paired_bootstrap(p, _accuracy, 200, 4).select(*[F.round(c, 6).alias(c) for c in ("point", "lo", "hi", "p")])
 
 
-@query("sta4_bootstrap_mean", _with(_SMALL.format(seed=5), ", v AS (SELECT avg(y_pred) AS x FROM b GROUP BY draw) SELECT round((SELECT avg(y_pred) FROM q), 4) AS point, round(quantile_cont(x, 0.025), 4) AS lo, round(quantile_cont(x, 0.975), 4) AS hi FROM v"))
-def _(spark, sf):
-    return T.bootstrap_mean(pred(spark, sf).where("event_id < 400"), "y_pred", "ord", 200, 5).select(*[F.round(c, 4).alias(c) for c in ("point", "lo", "hi")])
-
-
-@query("sta4_bootstrap_mean_all", _with(_ALL.format(seed=5), ", v AS (SELECT avg(y_pred) AS x FROM b GROUP BY draw) SELECT round((SELECT avg(y_pred) FROM q), 4) AS point, round(quantile_cont(x, 0.025), 4) AS lo, round(quantile_cont(x, 0.975), 4) AS hi FROM v"))
+@query("sta4_bootstrap_mean", _with(_ALL.format(seed=5), ", v AS (SELECT avg(y_pred) AS x FROM b GROUP BY draw) SELECT round((SELECT avg(y_pred) FROM q), 4) AS point, round(quantile_cont(x, 0.025), 4) AS lo, round(quantile_cont(x, 0.975), 4) AS hi FROM v"))
 def _(spark, sf):
     return T.bootstrap_mean(pred(spark, sf), "y_pred", "ord", 200, 5).select(*[F.round(c, 4).alias(c) for c in ("point", "lo", "hi")])
 
@@ -195,9 +178,9 @@ def _(spark, sf):
     return V.v_docs(spark, sf).groupBy("lang").agg(q(0.1).alias("p10"), q(0.5).alias("p50"), q(0.9).alias("p90"))
 
 
-@V.pixel_query("sta16_variance_ratio", sql("v_pixels", body="SELECT round(avg(((r - m) ** 2 + (g - m) ** 2 + (b - m) ** 2) / 2) / var_samp(m), 9) AS ratio FROM (SELECT *, (r + g + b) / 3 AS m FROM v_pixels)"))
-def _(spark, sf, pixels):
-    return T.variance_ratio(pixels(spark, sf), ["r", "g", "b"]).select(F.round("ratio", 9).alias("ratio"))
+@query("sta16_variance_ratio", sql("v_pixels", body="SELECT round(avg(((r - m) ** 2 + (g - m) ** 2 + (b - m) ** 2) / 2) / var_samp(m), 9) AS ratio FROM (SELECT *, (r + g + b) / 3 AS m FROM v_pixels)"))
+def _(spark, sf):
+    return T.variance_ratio(V.v_pixels(spark, sf), ["r", "g", "b"]).select(F.round("ratio", 9).alias("ratio"))
 
 
 @query("sta17_learning_curve", sql("v_docs", body="SELECT lang, round(regr_slope(label, log2(n_chars)), 9) AS slope FROM v_docs WHERE n_chars > 0 GROUP BY 1"))

@@ -31,11 +31,9 @@ SQL: dict[str, str] = {
     "v_counts": "SELECT o_orderkey AS item, count(l_orderkey) AS c1, coalesce(floor(sum(l_quantity) / 4), 0)::BIGINT AS c2 FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1",
     "v_manifest": "SELECT concat(user_id, '_', strftime(ts, '%Y-%m-%d')) AS name, concat('s', user_id % 12) AS substrate, (user_id % 12) % 2 = 0 AS person, event_id AS ord, ts, CASE event_type WHEN 'purchase' THEN concat('p', event_id) END AS path, CASE event_type WHEN 'purchase' THEN NULL WHEN 'error' THEN 'HTTP 429' ELSE 'empty' END AS blocked_reason FROM events",
     "v_runs": "SELECT generator, init, frac, seed, avg(recall) AS ba FROM (SELECT generator, init, frac, seed, y_true, avg((y_true = y_pred)::INT::DOUBLE) AS recall FROM v_pred GROUP BY ALL) GROUP BY ALL",
-    "v_pixels": "SELECT o_custkey AS img, o_orderkey AS px, (40 + (o_orderkey * 37 + o_custkey * 11) % 200) / 255.0::DOUBLE AS r, (30 + (o_orderkey * 53 + o_custkey * 7) % 180) / 255.0::DOUBLE AS g, (20 + (o_orderkey * 71 + o_custkey * 3) % 150) / 255.0::DOUBLE AS b FROM orders WHERE o_custkey % 5 = 0",
+    "v_pixels": "SELECT o_custkey AS img, o_orderkey AS px, (40 + (o_orderkey * 37 + o_custkey * 11) % 200) / 255.0::DOUBLE AS r, (30 + (o_orderkey * 53 + o_custkey * 7) % 180) / 255.0::DOUBLE AS g, (20 + (o_orderkey * 71 + o_custkey * 3) % 150) / 255.0::DOUBLE AS b FROM orders",
 }
 
-SQL["v_pixels_all"] = SQL["v_pixels"].removesuffix(" WHERE o_custkey % 5 = 0")
-
 
 def v_corpus(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
@@ -90,11 +88,7 @@ def v_manifest(spark, sf_dir) -> DataFrame:
 
 
 def v_pixels(spark, sf_dir) -> DataFrame:
-    """The pixels of a fifth of the images."""
-    return v_pixels_all(spark, sf_dir).where("img % 5 = 0")
-
-
-def v_pixels_all(spark, sf_dir) -> DataFrame:
+    """A pixel for each order; a customer is an image."""
     o = table(spark, sf_dir, "orders")
     channel = lambda base, a, b, m: ((base + (F.col("o_orderkey") * a + F.col("o_custkey") * b) % m) / F.lit(255.0))
     return o.select(F.col("o_custkey").alias("img"), F.col("o_orderkey").alias("px"), channel(40, 37, 11, 200).alias("r"), channel(30, 53, 7, 180).alias("g"), channel(20, 71, 3, 150).alias("b"))
@@ -105,15 +99,3 @@ def band(c):
 
 
 BAND = "(CASE WHEN {0} <= 5 THEN 0 WHEN {0} <= 20 THEN 1 WHEN {0} <= 50 THEN 2 ELSE 3 END)"
-
-
-def pixel_query(name: str, oracle: str):
-    """Registers a builder (spark, sf_dir, pixels) over v_pixels, and as NAME_all over the pixels of all images."""
-    from corpuslab.registry import query
-
-    def add(f):
-        query(name, oracle)(lambda spark, sf: f(spark, sf, v_pixels))
-        query(f"{name}_all", oracle.replace(SQL["v_pixels"], SQL["v_pixels_all"]))(lambda spark, sf: f(spark, sf, v_pixels_all))
-        return f
-
-    return add
