@@ -42,7 +42,7 @@ BLOCK = 48 << 20
 BUCKET, BUCKETS, MOST = 400_000, 4096, 2_000_000
 #: How hard blocks are compressed.
 LEVEL = 6
-#: Words whose ids are gathered at once, and ids that are decoded at once.
+#: Words whose ids are gathered at once.
 STEP = 1 << 18
 #: Bytes of a word above which equal pairs are joined together.
 LONG = 192
@@ -139,6 +139,11 @@ class Tokenizer:
         row = pa.table({k: pa.array([v], pa.list_(pa.int64())) for k, v in (("shift", self.shift), ("cells", self.cells), ("bytes", self.bytes))})
         return spark.createDataFrame(row).select(F.struct("shift", "cells", "bytes")).scalar()
 
+    def hex(self, spark: SparkSession) -> Column:
+        """The literal array of pieces, as hex digits."""
+        row = pa.table({"hex": pa.array([[p.hex() for p in self.pieces]], pa.list_(pa.string()))})
+        return spark.createDataFrame(row).select(F.struct("hex")).scalar()
+
     @staticmethod
     def pair(t: Column, left: Column, right: Column) -> Column:
         """The joined id of a pair, NONE without one, and below it the left id. t: the map. NONE has no pairs."""
@@ -380,30 +385,8 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, keep: list[str], limit: int =
 
 
 def decode(coded: DataFrame, tokenizer: Tokenizer, ids: str = "ids") -> DataFrame:
-    """coded with ids_text, its ids in decimals joined by one space, and decoded, the bytes of its ids."""
-    pieces, decimals = pa.array(tokenizer.pieces, pa.large_binary()), pa.array([b"%d " % i for i in range(len(tokenizer.pieces))], pa.large_binary())
-    others = [c for c in coded.columns if c not in ("ids_text", "decoded")]
-    schema = T.StructType([*coded.select(*others).schema.fields, T.StructField("ids_text", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
-
-    def joined(table: pa.Array, flat: pa.Array, offsets: np.ndarray, less: int) -> pa.Array:
-        """The table's values at the ids of each row, concatenated; `less` bytes of each row's end are left out."""
-        values = table.take(flat)
-        at = np.frombuffer(values.buffers()[1], dtype=np.int64)[: len(values) + 1][offsets]
-        data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(np.ascontiguousarray(at)), values.buffers()[2]])
-        return (pc.binary_slice(data, 0, -less) if less else data).cast(pa.binary())
-
-    def parts(batch):
-        """Rows that hold about STEP ids, a row at least."""
-        sizes = pc.fill_null(pc.list_value_length(batch.column(others.index(ids))), 0).to_numpy(zero_copy_only=False)
-        group = np.cumsum(sizes, dtype=np.int64) // STEP
-        ends = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), batch.num_rows]
-        return (batch.slice(lo, hi - lo) for lo, hi in zip(ends[:-1], ends[1:]))
-
-    def texts(batches):
-        lean()
-        for batch in (p for b in batches if b.num_rows for p in parts(b)):
-            lists = batch.column(others.index(ids))
-            flat, offsets = lists.flatten(), np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, joined(decimals, flat, offsets, 1), joined(pieces, flat, offsets, 0)], schema.names)
-
-    return coded.select(*others).mapInArrow(texts, schema)
+    """coded with ids_text, its ids in decimals joined by one space, and decoded, the bytes of its ids. Pieces are joined as hex digits, since
+    Spark joins strings and not bytes; they stand in a literal array by id."""
+    with_pieces = coded.withColumn("__pieces", tokenizer.hex(coded.sparkSession))
+    found = bind(F.col("__pieces"), lambda t: F.array_join(F.transform(F.col(ids), lambda i: F.get(t["hex"], i)), ""))
+    return with_pieces.withColumns({"ids_text": F.array_join(F.col(ids).cast("array<string>"), " "), "decoded": F.unhex(found)}).drop("__pieces")

@@ -59,7 +59,7 @@ def test_bpe_is_the_librarys(docs, tokenizer, encoding, limit, bucket):
     assert len(out) == len(ROWS)
     for r in out:
         ids = encoding.encode_ordinary(r["text"] or "")
-        assert r["ids"] == ids and bytes(r["ids_text"]).decode() == " ".join(map(str, ids)) and r["size"] == "x"
+        assert r["ids"] == ids and r["ids_text"] == " ".join(map(str, ids)) and r["size"] == "x"
         assert bytes(r["decoded"]) == (r["text"] or "").encode()
 
 
