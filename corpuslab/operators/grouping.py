@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 
 from corpuslab.operators.components import components
 from corpuslab.operators.corpus import first_appearance_ids, group_report
-from corpuslab.operators.similarity import cosine_pairs, detected, hamming_pairs, nearest
+from corpuslab.operators.similarity import best_of_each, cosine_pairs, detected, hamming_pairs, nearest, pair_ranks
 from corpuslab.plans.scratch import cut
 
 
@@ -92,16 +92,6 @@ class Calibration:
     curve: DataFrame | None
 
 
-def null_scores(pairs: DataFrame, mode: str) -> DataFrame:
-    """score: every pair's similarity, or each item's best."""
-    if mode == "per_pair":
-        return pairs.select(F.col("sim").alias("score"))
-    if mode != "per_item":
-        raise ValueError(f"unknown mode {mode}")
-    both = pairs.select(F.col("a").alias("i"), "sim").unionByName(pairs.select(F.col("b").alias("i"), "sim"))
-    return both.groupBy("i").agg(F.max("sim").alias("score"))
-
-
 def order_statistic(scores: DataFrame, rate: float) -> float | None:
     """The smallest t with at most this share of scores above it: the (k + 1)-th largest, k = floor(rate * m), at most 1."""
     m = scores.count()
@@ -112,24 +102,40 @@ def order_statistic(scores: DataFrame, rate: float) -> float | None:
     return min(top, 1.0)
 
 
-def calibrate(records: DataFrame, rate: float = 0.01, mode: str = "per_item", known: DataFrame | None = None, reference: float | None = None, grid: list[float] | None = None, cap: float = 0.05, key: str = "ord", vec: str = "v") -> Calibration:
-    """A threshold at a target false-positive rate from a corpus's own pairs, known pairs (a, b) left out, and the lowest
-    threshold from it on at which the largest component, known pairs included, stays within the cap."""
+def pair_threshold(records: DataFrame, rate: float, key: str = "ord", vec: str = "v", apart: str | None = None) -> tuple[float | None, float | None]:
+    """(the smallest t with at most this share of pairs above it, that share)."""
+    at = lambda n: [n - 1 - math.floor(rate * n)]
+    n, ranked, _, _, _ = pair_ranks(records, at, key=key, vec=vec, apart=apart)
+    if not n:
+        return None, None
+    t = min(ranked[0], 1.0)
+    return t, pair_ranks(records, thresholds=[t], key=key, vec=vec, apart=apart)[3][0][1] / n
+
+
+def calibrate(records: DataFrame, rate: float = 0.01, mode: str = "per_item", known: str | None = None, reference: float | None = None, grid: list[float] | None = None, cap: float = 0.05, key: str = "ord", vec: str = "v") -> Calibration:
+    """A threshold at a target false-positive rate from a corpus's own pairs, and the lowest
+    threshold from it on at which the largest component stays within the cap. `known` names a column: pairs of one value of it are known, and no
+    part of the null distribution; in components they count."""
     n = records.count()
     if n < 3:
         raise ValueError("calibration needs at least 3 records")
-    every = cut(cosine_pairs(records, -2.0, key, vec), "null_pairs")
-    null = every if known is None else every.join(known.select("a", "b").distinct(), ["a", "b"], "left_anti")
-    scores = cut(null_scores(null, mode), "null_scores")
-    stats = null.agg(F.count(F.lit(1)), F.percentile("sim", F.array(*[F.lit(p) for p in (0.5, 0.9, 0.99, 0.999)])), F.max("sim")).first()
-    t = order_statistic(scores, rate)
-    share = lambda x, strict: scores.agg(F.avg(((F.col("score") > x) if strict else (F.col("score") >= x)).cast("double"))).first()[0]
-    at_reference = None if reference is None else share(reference, False)
-    points = grid or [max(stats[1][0], 0.0) + (1 - max(stats[1][0], 0.0)) * i / 8 for i in range(9)]
+    limits = [] if reference is None else [reference]
+    pairs, _, (median, p90, p99, p999), counts, most = pair_ranks(records, quantiles=[0.5, 0.9, 0.99, 0.999], thresholds=limits, key=key, vec=vec, apart=known)
+    if mode == "per_pair":
+        t, achieved = pair_threshold(records, rate, key, vec, known)
+        at_reference = None if reference is None else counts[0][0] / pairs
+    elif mode == "per_item":
+        scores = cut(best_of_each(records, key, vec, known), "null_scores")
+        t = order_statistic(scores, rate)
+        share = lambda hit: scores.agg(F.avg(hit.cast("double"))).first()[0]
+        achieved, at_reference = share(F.col("score") > t), None if reference is None else share(F.col("score") >= reference)
+    else:
+        raise ValueError(f"unknown mode {mode}")
+    points = grid or [max(median, 0.0) + (1 - max(median, 0.0)) * i / 8 for i in range(9)]
     candidates = sorted({p for p in [t, *points, *[t + (1 - t) * i / 39 for i in range(40)]] if p >= t})
     curve = component_curve(records, sorted({*points, *candidates}), key, vec)
     fits = [r["threshold"] for r in curve.where(F.col("share") <= cap).collect() if r["threshold"] >= t]
-    return Calibration(mode, n, stats[0], *stats[1], stats[2], t, share(t, True), reference, at_reference, None if reference is None else at_reference <= 2 * rate, min(fits) if fits else None, curve)
+    return Calibration(mode, n, pairs, median, p90, p99, p999, most, t, achieved, reference, at_reference, None if reference is None else at_reference <= 2 * rate, min(fits) if fits else None, curve)
 
 
 def memorisation(generated: DataFrame, reference: DataFrame, threshold: float = 0.95, k: int = 25, key: str = "ord", vec: str = "v") -> tuple[DataFrame, DataFrame]:

@@ -1,7 +1,7 @@
 """Cutting lineage with tables in the folder that all executors share.
 
-`spark.checkpoint.dir` names that folder on a cluster. Only where it is unset, as in tests, a folder
-below the machine's temporary folder takes its place.
+`spark.checkpoint.dir` names that folder on a cluster. Only where it is unset and all executors are threads of this machine, as in tests,
+a folder below the machine's temporary folder takes its place.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder for cut tables of this application."""
     root = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY, None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {KEY} to a folder that all executors share")
         root = f"file://{tempfile.gettempdir()}/corpuslab-checkpoints"
     return f"{root.rstrip('/')}/corpuslab/{spark.sparkContext.applicationId}"
 

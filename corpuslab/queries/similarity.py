@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -54,7 +56,7 @@ _HASH = "h AS (SELECT doc_id AS ord, (concat('0x', substr(md5(text), 1, 8))::BIG
 @query("jn7_hamming_pairs", f"WITH {_HASH} SELECT x.ord AS a, y.ord AS b, bit_count(xor(x.h, y.h))::INT AS distance FROM h x JOIN h y ON x.ord < y.ord WHERE bit_count(xor(x.h, y.h)) <= 3")
 def _(spark, sf):
     h = F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("long").bitwiseAND(F.lit(268435455))
-    return M.hamming_pairs(V.table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), h.alias("h")), 3)
+    return M.hamming_pairs(V.table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), h.alias("h")), 3, width=28)
 
 
 _NN = "n AS (SELECT x.ord AS id, arg_min(y.ord, (-round(list_dot_product(x.v, y.v), 12), y.ord)) AS ref, max(round(list_dot_product(x.v, y.v), 12)) AS sim FROM u x, u y WHERE x.source <> 'real' AND y.source = 'real' GROUP BY 1)"
@@ -139,10 +141,15 @@ def _(spark, sf):
     return G.component_curve(vectors(spark, sf), [0.32, 0.38, 0.42])
 
 
+def one_row(spark, schema: str, *values, digits=()):
+    digits = digits or [6] * len(values)
+    return spark.createDataFrame([tuple(v if isinstance(v, int) or v is None else round(v, d) for v, d in zip(values, digits))], schema)
+
+
 @query("sim6_null_distribution", f"WITH {_PAIRS} SELECT count(*) AS pairs, round(quantile_cont(sim, 0.5), 6) AS median, round(quantile_cont(sim, 0.9), 6) AS p90, round(quantile_cont(sim, 0.99), 6) AS p99, round(quantile_cont(sim, 0.999), 6) AS p999, round(max(sim), 6) AS maximum FROM p")
 def _(spark, sf):
-    q = lambda p: F.round(F.percentile("sim", p), 6)
-    return M.cosine_pairs(vectors(spark, sf), -2.0).agg(F.count(F.lit(1)).alias("pairs"), q(0.5).alias("median"), q(0.9).alias("p90"), q(0.99).alias("p99"), q(0.999).alias("p999"), F.round(F.max("sim"), 6).alias("maximum"))
+    n, _, q, _, most = M.pair_ranks(vectors(spark, sf), quantiles=[0.5, 0.9, 0.99, 0.999])
+    return one_row(spark, "pairs long, median double, p90 double, p99 double, p999 double, maximum double", n, *q, most)
 
 
 _BEST = "s AS (SELECT i, max(sim) AS score FROM (SELECT a AS i, sim FROM p UNION ALL SELECT b, sim FROM p) GROUP BY 1)"
@@ -150,21 +157,20 @@ _BEST = "s AS (SELECT i, max(sim) AS score FROM (SELECT a AS i, sim FROM p UNION
 
 @query("sim6_threshold_per_item", f"WITH {_PAIRS}, {_BEST}, o AS (SELECT score, row_number() OVER (ORDER BY score DESC) AS rn, count(*) OVER () AS m FROM s), t AS (SELECT least(score, 1.0) AS threshold FROM o WHERE rn = floor(0.05::DOUBLE * m) + 1) SELECT round(threshold, 6) AS threshold, round(avg((score > threshold)::INT::DOUBLE), 9) AS achieved FROM s, t GROUP BY threshold")
 def _(spark, sf):
-    scores = G.null_scores(M.cosine_pairs(vectors(spark, sf), -2.0), "per_item")
+    scores = M.best_of_each(vectors(spark, sf))
     t = G.order_statistic(scores, 0.05)
     return scores.agg(F.round(F.avg((F.col("score") > t).cast("double")), 9).alias("achieved")).select(F.lit(round(t, 6)).alias("threshold"), "achieved")
 
 
 @query("sim6_threshold_per_pair", f"WITH {_PAIRS}, o AS (SELECT sim, row_number() OVER (ORDER BY sim DESC) AS rn, count(*) OVER () AS m FROM p), t AS (SELECT least(sim, 1.0) AS threshold FROM o WHERE rn = floor(0.01::DOUBLE * m) + 1) SELECT round(threshold, 6) AS threshold, round(avg((sim > threshold)::INT::DOUBLE), 9) AS achieved FROM p, t GROUP BY threshold")
 def _(spark, sf):
-    scores = G.null_scores(M.cosine_pairs(vectors(spark, sf), -2.0), "per_pair")
-    t = G.order_statistic(scores, 0.01)
-    return scores.agg(F.round(F.avg((F.col("score") > t).cast("double")), 9).alias("achieved")).select(F.lit(round(t, 6)).alias("threshold"), "achieved")
+    t, achieved = G.pair_threshold(vectors(spark, sf), 0.01)
+    return one_row(spark, "threshold double, achieved double", t, achieved, digits=(6, 9))
 
 
 @query("sim7_published_threshold", f"WITH {_PAIRS}, {_BEST} SELECT round(avg((score >= 0.5)::INT::DOUBLE), 9) AS rate FROM s")
 def _(spark, sf):
-    return G.null_scores(M.cosine_pairs(vectors(spark, sf), -2.0), "per_item").agg(F.round(F.avg((F.col("score") >= 0.5).cast("double")), 9).alias("rate"))
+    return M.best_of_each(vectors(spark, sf)).agg(F.round(F.avg((F.col("score") >= 0.5).cast("double")), 9).alias("rate"))
 
 
 @query("sim8_memorisation", f"WITH {_N}, {_NN} SELECT count(*) AS n, round(avg((sim >= {T})::INT::DOUBLE), 9) AS rate, round(avg(sim), 6) AS mean, round(quantile_cont(sim, 0.5), 6) AS median, round(quantile_cont(sim, 0.95), 6) AS p95, round(max(sim), 6) AS maximum, CASE WHEN avg((sim >= {T})::INT::DOUBLE) >= 0.05 THEN 'do not release' WHEN avg((sim >= {T})::INT::DOUBLE) >= 0.01 THEN 'review matches' ELSE 'no concern' END AS note FROM n")
@@ -198,27 +204,24 @@ def _(spark, sf):
 
 @query("sim10_chance_rate", f"WITH {_PAIRS} SELECT t AS threshold, round(avg((sim >= t)::INT::DOUBLE), 9) AS chance FROM p, (VALUES (0.2::DOUBLE), (0.3), (0.4)) g(t) GROUP BY 1")
 def _(spark, sf):
-    p = M.cosine_pairs(vectors(spark, sf), -2.0).withColumn("threshold", F.explode(F.array(F.lit(0.2), F.lit(0.3), F.lit(0.4))))
-    return p.groupBy("threshold").agg(F.round(F.avg((F.col("sim") >= F.col("threshold")).cast("double")), 9).alias("chance"))
+    n, _, _, counts, _ = M.pair_ranks(vectors(spark, sf), thresholds=[0.2, 0.3, 0.4])
+    return spark.createDataFrame([(t, round(c / n, 9)) for t, (c, _) in zip((0.2, 0.3, 0.4), counts)], "threshold double, chance double")
 
 
 @query("sim12_capture_control", f"WITH {_PAIRS} SELECT count(*) AS pairs, round(quantile_cont(sim, 0.99), 6) AS p99, round(avg((sim >= 0.3)::INT::DOUBLE), 9) AS tail FROM p JOIN u x ON x.ord = a JOIN u y ON y.ord = b WHERE x.label = 0 AND y.label = 0")
 def _(spark, sf):
-    p = M.cosine_pairs(vectors(spark, sf).where("label = 0"), -2.0)
-    return p.agg(F.count(F.lit(1)).alias("pairs"), F.round(F.percentile("sim", 0.99), 6).alias("p99"), F.round(F.avg((F.col("sim") >= 0.3).cast("double")), 9).alias("tail"))
+    n, _, (p99,), ((tail, _),), _ = M.pair_ranks(vectors(spark, sf).where("label = 0"), quantiles=[0.99], thresholds=[0.3])
+    return one_row(spark, "pairs long, p99 double, tail double", n, p99, tail / n, digits=(0, 6, 9))
 
 
 @query("sim13_pool_null", f"WITH {_PAIRS}, q AS (SELECT p.* FROM p JOIN u x ON x.ord = a JOIN u y ON y.ord = b WHERE x.grp <> y.grp) SELECT count(*) AS pairs, round(quantile_cont(sim, 0.999), 6) AS p999 FROM q")
 def _(spark, sf):
-    v = vectors(spark, sf)
-    x, y = v.alias("x"), v.alias("y")
-    known = x.join(y, (F.col("x.grp") == F.col("y.grp")) & (F.col("x.ord") < F.col("y.ord"))).select(F.col("x.ord").alias("a"), F.col("y.ord").alias("b"))
-    null = M.cosine_pairs(v, -2.0).join(known, ["a", "b"], "left_anti")
-    return null.agg(F.count(F.lit(1)).alias("pairs"), F.round(F.percentile("sim", 0.999), 6).alias("p999"))
+    n, _, (p999,), _, _ = M.pair_ranks(vectors(spark, sf), quantiles=[0.999], apart="grp")
+    return one_row(spark, "pairs long, p999 double", n, p999)
 
 
 _CONTAMINATION = (
-    f"WITH {_PAIRS}, t AS (SELECT k AS trial, ord, row_number() OVER (PARTITION BY k ORDER BY md5(concat_ws('|', k, ord)), ord) > 350 AS held FROM u, range(10) r(k)), "
+    f"WITH {_PAIRS}, t AS (SELECT k AS trial, ord, row_number() OVER (PARTITION BY k ORDER BY md5(concat_ws('|', k, ord)), ord) > floor(0.74::DOUBLE * (SELECT count(*) FROM u)) AS held FROM u, range(200) r(k)), "
     "b AS (SELECT a, b FROM p WHERE sim >= 0.35 UNION ALL SELECT b, a FROM p WHERE sim >= 0.35), "
     "l AS (SELECT DISTINCT x.trial, x.ord FROM t x JOIN b ON b.a = x.ord JOIN t y ON y.trial = x.trial AND y.ord = b.b WHERE x.held AND NOT y.held) "
     "SELECT t.trial, round(count(l.ord) / count(*), 9) AS leaked FROM t LEFT JOIN l ON l.trial = t.trial AND l.ord = t.ord WHERE held GROUP BY 1"
@@ -228,9 +231,9 @@ _CONTAMINATION = (
 @query("sim14_split_contamination", _CONTAMINATION)
 def _contamination(spark, sf):
     v = vectors(spark, sf)
-    trials = v.select("ord").withColumn("trial", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))))
+    trials = v.select("ord").withColumn("trial", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(199).cast("long"))))
     place = F.row_number().over(W.partitionBy("trial").orderBy(order_key(F.col("trial"), F.col("ord")), "ord"))
-    t = trials.withColumn("held", place > 350)
+    t = trials.withColumn("held", place > math.floor(0.74 * v.count()))
     p = M.cosine_pairs(v, 0.35)
     both = p.select("a", "b").unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b")))
     train = t.where("NOT held").select("trial", F.col("ord").alias("b"))
