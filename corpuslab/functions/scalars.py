@@ -148,3 +148,13 @@ def fitzpatrick(prompt: Column) -> Column:
 
 def generator_label(kind: Column, n_synthetic: Column, configured: Column) -> Column:
     return F.when(kind == "real_subset", "real_subset").when(n_synthetic == 0, "none").otherwise(configured)
+
+
+def object_hash(fields: dict[str, Column]) -> Column:
+    """16 hex digits of the SHA-256 of an object as JSON with sorted keys, spaces after commas and colons. Strings are written without escapes."""
+
+    def value(c: Column) -> Column:
+        return F.when(c.isNull(), F.lit("null")).otherwise(F.when(F.typeof(c) == "string", F.concat(F.lit('"'), c.cast("string"), F.lit('"'))).otherwise(c.cast("string")))
+
+    body = [x for i, (k, c) in enumerate(sorted(fields.items())) for x in (F.lit(("" if not i else ", ") + f'"{k}": '), value(c))]
+    return F.substring(F.sha2(F.concat(F.lit("{"), *body, F.lit("}")), 256), 1, 16)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from corpuslab.operators.corpus import numbered
+
 
 def exact_duplicates(items: DataFrame, digest: str) -> DataFrame:
     """digest, n: contents that occur more than once."""
@@ -20,11 +22,12 @@ def upper_median(values: Column) -> Column:
 def pair_consistency(items: DataFrame, digest: str, label: str, count: str) -> DataFrame:
     """One row over groups of exactly two: pairs, agreement of labels and counts, the upper median, mean and greatest difference."""
     g = items.groupBy(digest).agg(F.count(F.lit(1)).alias("n"), F.min(label).alias("l0"), F.max(label).alias("l1"), F.min(count).alias("c0"), F.max(count).alias("c1")).where("n = 2")
-    d = g.withColumn("d", F.col("c1") - F.col("c0"))
-    rank = d.withColumn("rn", F.row_number().over(W.orderBy("d"))).withColumn("m", F.count(F.lit(1)).over(W.partitionBy()))
-    return rank.agg(
-        F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("l0") == F.col("l1")).alias("same_label"), F.count_if(F.col("d") == 0).alias("same_count"),
-        F.max(F.when(F.col("rn") == F.floor(F.col("m") / 2) + 1, F.col("d"))).alias("median"), F.avg("d").alias("mean"), F.max("d").alias("greatest"),
+    d = g.groupBy((F.col("c1") - F.col("c0")).alias("d")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("l0") == F.col("l1")).alias("same"))
+    # A row for each difference of counts.
+    so_far = d.withColumn("after", F.sum("n").over(W.orderBy("d"))).withColumn("m", F.sum("n").over(W.partitionBy()))
+    return so_far.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"), F.coalesce(F.sum("same"), F.lit(0)).alias("same_label"), F.coalesce(F.sum(F.when(F.col("d") == 0, F.col("n"))), F.lit(0)).alias("same_count"),
+        F.min(F.when(F.col("after") > F.floor(F.col("m") / 2), F.col("d"))).alias("median"), (F.sum(F.col("d") * F.col("n")) / F.sum("n")).alias("mean"), F.max("d").alias("greatest"),
     )
 
 
@@ -43,7 +46,7 @@ def fold_leakage(items: DataFrame, digest: str, label: str, fold: str) -> DataFr
 
 def rebanded(df: DataFrame, count: str, order: str, histogram: DataFrame) -> DataFrame:
     """Adds `matched`: grades dealt by rank of the count so that they have the target histogram (label, n)."""
-    ranked = df.withColumn("__rn", F.row_number().over(W.orderBy(count, order)))
+    ranked = numbered(df, [F.col(count), F.col(order)], "__rn")
     # A row for each grade.
     edges = histogram.select("label", F.sum("n").over(W.orderBy("label")).alias("hi"), (F.sum("n").over(W.orderBy("label")) - F.col("n")).alias("lo"))
     return ranked.join(F.broadcast(edges), (F.col("__rn") > F.col("lo")) & (F.col("__rn") <= F.col("hi"))).withColumnRenamed("label", "matched").drop("__rn", "lo", "hi")
@@ -137,3 +140,19 @@ def margins(vectors: DataFrame, train: DataFrame, key: str = "ord", label: str =
     d = F.sqrt(F.aggregate(F.zip_with(F.col(vec), F.col("__c"), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
     far = vectors.select(key, label, vec).crossJoin(F.broadcast(c)).select(key, label, d.alias("d"), (F.col("__l") == F.col(label)).alias("own"))
     return far.groupBy(key, label).agg((F.min(F.when(~F.col("own"), F.col("d"))) - F.min(F.when(F.col("own"), F.col("d")))).alias("margin"))
+
+
+def small_n_bias(predictions: DataFrame, n: int, draws: int, key: str = "ord") -> DataFrame:
+    """observed, mean, lo, hi, at_least: the scope of all predictions (y_true, y_pred), and of draws of n records of each grade: their mean, 95% range and
+    the share that reaches the observed one. A draw's records are the least n by its digest, found with a partial limit in each task."""
+    from corpuslab.functions.draws import order_key
+
+    wide = predictions.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
+    place = F.row_number().over(W.partitionBy("draw", "y_true").orderBy(order_key(F.col("draw"), F.col(key)), key))
+    picked = wide.withColumn("rn", place).where(F.col("rn") <= n).withColumn("n", F.lit(1))
+    scopes = scope(picked, ["draw"])
+    observed = scope(predictions.withColumn("n", F.lit(1)).withColumn("draw", F.lit(-1).cast("long")), ["draw"]).select(F.col("scope").alias("observed"))
+    q = lambda p: F.percentile("scope", p)
+    # One row of the observed value.
+    both = scopes.crossJoin(F.broadcast(observed))
+    return both.agg(F.first("observed").alias("observed"), F.avg("scope").alias("mean"), q(0.025).alias("lo"), q(0.975).alias("hi"), F.avg((F.col("scope") >= F.col("observed") - 1e-9).cast("double")).alias("at_least"))

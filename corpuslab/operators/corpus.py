@@ -82,9 +82,10 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
 
 
 def first_appearance_ids(df: DataFrame, group: str, order: str, prefix: str, out: str = "gid") -> DataFrame:
-    """Canonical ids of groups by first appearance. Groups are numbered in one small table, a row for each, and joined back."""
-    first = df.groupBy(group).agg(F.min(order).alias("__first"))
-    ids = first.select(group, F.concat(F.lit(prefix), F.lpad((F.row_number().over(W.orderBy("__first")) - 1).cast("string"), 6, "0")).alias(out))
+    """Canonical ids of groups by first appearance. Groups are numbered in a table of their own, a row for each, and joined back."""
+    first = numbered(df.groupBy(group).agg(F.min(order).alias("__first")), [F.col("__first")], "__place", 0)
+    number = F.col("__place").cast("string")
+    ids = first.select(group, F.concat(F.lit(prefix), F.lpad(number, F.greatest(F.lit(6), F.length(number)), F.lit("0"))).alias(out))
     return df.join(ids, group)
 
 
@@ -149,3 +150,12 @@ def numbered(df: DataFrame, order: list[Column], out: str = "place", start: int
     before = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select("__part", (F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).alias("__before"))
     place = (F.col("__before") + F.row_number().over(W.partitionBy("__part").orderBy(*order)) + (start - 1)).cast("long")
     return dealt.join(F.broadcast(before), "__part").withColumn(out, place).drop("__part", "__before")
+
+
+def buckets(df: DataFrame, n: int, label: str = "label") -> DataFrame:
+    """The rows of each class from 0 to n - 1; a class without rows gives one row of nulls beside its label."""
+    classes = df.sparkSession.range(n).select(F.col("id").cast("int").alias("__class"))
+    # A row for each class.
+    found = F.broadcast(classes.join(df.select(label).distinct(), F.col("__class") == F.col(label), "left_anti"))
+    empty = found.select(*[F.col("__class").cast(f.dataType).alias(f.name) if f.name == label else F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields])
+    return df.where(F.col(label).between(0, n - 1)).unionByName(empty)

@@ -44,6 +44,24 @@ def bib_entries(text: str) -> list[tuple[str, str, str]]:
     return out
 
 
+def bibliography(files: DataFrame, text: str = "value") -> DataFrame:
+    """type, key, body: the entries of each file's text, a task for each file; other columns are kept."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    kept = [f for f in files.schema.fields if f.name not in (text, "type", "key", "body")]
+    schema = T.StructType([*kept, *(T.StructField(c, T.StringType()) for c in ("type", "key", "body"))])
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(*own, *entry) for own, value in zip(batch[[f.name for f in kept]].itertuples(index=False), batch[text]) for entry in bib_entries(value or "")]
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    return files.select(*[f.name for f in kept], text).mapInPandas(parse, schema)
+
+
 def violations(*checks: tuple[str, str, DataFrame]) -> DataFrame:
     """severity, gate, message: one row for each row of each check (severity, gate, frame with `message`)."""
     from functools import reduce

@@ -167,3 +167,13 @@ def cluster_coverage(synthetic: DataFrame, reference: DataFrame, threshold: floa
     hit = nearest(seen, synthetic.where(detected(F.col(vec))), key, vec).select("id", (F.col("sim") >= threshold).alias("hit"))
     by = clusters.join(hit, F.col(key) == F.col("id"), "left").groupBy("root").agg(F.coalesce(F.bool_or("hit"), F.lit(False)).alias("hit"))
     return by.agg(F.count(F.lit(1)).alias("n_clusters"), F.count_if("hit").alias("n_covered"), F.round(F.avg(F.col("hit").cast("double")), 9).alias("coverage"))
+
+
+def leakage_curve(best: DataFrame, records: DataFrame, thresholds: list[float], key: str = "ord", vec: str = "v") -> DataFrame:
+    """regime, threshold, leaked: for each regime the share of held-out records whose best training record (regime, fold, sim) is at least as similar as the
+    threshold, the mean of the regime's folds; and under 'chance' the share of all pairs."""
+    marks = best.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
+    folds = marks.groupBy("regime", "fold", "threshold").agg(F.avg((F.col("sim") >= F.col("threshold")).cast("double")).alias("l"))
+    n, _, _, counts, _ = pair_ranks(records, thresholds=thresholds, key=key, vec=vec)
+    chance = records.sparkSession.createDataFrame([("chance", float(t), round(c / n, 9) if n else None) for t, (c, _) in zip(thresholds, counts)], "regime string, threshold double, leaked double")
+    return folds.groupBy("regime", "threshold").agg(F.round(F.avg("l"), 9).alias("leaked")).unionByName(chance)

@@ -95,3 +95,12 @@ def plot_points(runs: DataFrame, by: list[str], metric: str) -> DataFrame:
 def pending(planned: DataFrame, done: DataFrame, key: str = "run_id") -> DataFrame:
     """Planned runs without a record."""
     return planned.join(done.select(key), key, "left_anti")
+
+
+def smoke_verdict(trends: DataFrame, gap: float) -> DataFrame:
+    """trends (slope, lo, hi) with `passed` and `reason`: with a gap between the processes the slope must fall, without one its
+    interval must hold zero. A slope that isn't known passes neither."""
+    ok = (F.col("slope") < 0) if gap > 0 else ((F.col("lo") <= 0) & (F.col("hi") >= 0))
+    wanted = "a negative slope" if gap > 0 else "an interval that holds zero"
+    passed = F.coalesce(ok, F.lit(False))
+    return trends.withColumn("passed", passed).withColumn("reason", F.when(~F.col("passed"), F.lit(f"expected {wanted}")))

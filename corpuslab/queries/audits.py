@@ -200,3 +200,12 @@ def _(spark, sf):
     top = d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("f")).agg(F.max_by("lang", F.struct("n", -F.col("f"))).alias("top"))
     n = d.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("label")))
     return n.crossJoin(F.broadcast(top)).agg(F.round(F.avg((F.col("lang") != F.col("top")).cast("double")), 9).alias("off_mode"), F.round(F.max("n") / F.sum("n"), 9).alias("floor"))
+
+
+_FID3 = "d AS (SELECT d AS draw, y_true, y_pred, row_number() OVER (PARTITION BY d, y_true ORDER BY md5(concat_ws('|', d, ord)), ord) AS rn FROM v_pred, range(40) r(d)), s AS (SELECT draw, 100 * (max(m) - min(m)) / 3 AS scope FROM (SELECT draw, y_true, avg(y_pred) AS m FROM d WHERE rn <= 25 GROUP BY 1, 2) GROUP BY 1), o AS (SELECT 100 * (max(m) - min(m)) / 3 AS scope FROM (SELECT y_true, avg(y_pred) AS m FROM v_pred GROUP BY 1))"
+
+
+@query("fid3_small_n_bias", sql("v_pred", body="").rstrip() + ", " + _FID3 + " SELECT round(any_value(o.scope), 9) AS observed, round(avg(s.scope), 9) AS mean, round(quantile_cont(s.scope, 0.025), 9) AS lo, round(quantile_cont(s.scope, 0.975), 9) AS hi, round(avg((s.scope >= o.scope - 1e-9)::INT::DOUBLE), 9) AS at_least FROM s, o")
+def _(spark, sf):
+    p = V.v_pred(spark, sf).select("ord", "y_true", "y_pred")
+    return A.small_n_bias(p, 25, 40).select(*[F.round(c, 9).alias(c) for c in ("observed", "mean", "lo", "hi", "at_least")])

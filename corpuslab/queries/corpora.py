@@ -277,7 +277,11 @@ def _(spark, sf):
     return V.v_counts(spark, sf).select("item", V.band("c2").alias("grade"))
 
 
-@query("fn2_wilson", sql("v_docs", body="SELECT lang, round((p + 1.96::DOUBLE ** 2 / (2 * n) - 1.96::DOUBLE * sqrt(p * (1 - p) / n + 1.96::DOUBLE ** 2 / (4 * n * n))) / (1 + 1.96::DOUBLE ** 2 / n), 9) AS lo, round((p + 1.96::DOUBLE ** 2 / (2 * n) + 1.96::DOUBLE * sqrt(p * (1 - p) / n + 1.96::DOUBLE ** 2 / (4 * n * n))) / (1 + 1.96::DOUBLE ** 2 / n), 9) AS hi FROM (SELECT lang, count(*)::DOUBLE AS n, count(*) FILTER (label = 0) / count(*) AS p FROM v_docs GROUP BY 1)"))
+_WILSON = sql("v_docs", body="SELECT lang, round((p + 1.96::DOUBLE ** 2 / (2 * n) - 1.96::DOUBLE * sqrt(p * (1 - p) / n + 1.96::DOUBLE ** 2 / (4 * n * n))) / (1 + 1.96::DOUBLE ** 2 / n), 9) AS lo, round((p + 1.96::DOUBLE ** 2 / (2 * n) + 1.96::DOUBLE * sqrt(p * (1 - p) / n + 1.96::DOUBLE ** 2 / (4 * n * n))) / (1 + 1.96::DOUBLE ** 2 / n), 9) AS hi FROM (SELECT lang, count(*)::DOUBLE AS n, count(*) FILTER (label = 0) / count(*) AS p FROM v_docs GROUP BY 1)")
+
+
+@query("fn2_wilson", _WILSON)
+@query("sta11_wilson", _WILSON)
 def _(spark, sf):
     n = V.v_docs(spark, sf).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 0).alias("k"))
     lo, hi = S.wilson(F.col("k"), F.col("n"))
@@ -341,3 +345,14 @@ def _(spark, sf):
 def _(spark, sf):
     g = V.v_corpus(spark, sf).groupBy("grp").agg(F.when(F.count_if(F.col("label") == 3) > 0, "real_subset").otherwise("mix").alias("kind"), F.count_if(F.col("source") != "real").alias("n"))
     return g.select("grp", S.generator_label(F.col("kind"), F.col("n"), F.lit("closed")).alias("generator"))
+
+
+@query("flt3_buckets", sql("v_corpus", body="SELECT l::INT AS label, path FROM range(5) r(l) LEFT JOIN v_corpus ON label = l AND label > 0"))
+def _(spark, sf):
+    return C.buckets(V.v_corpus(spark, sf).where("label > 0"), 5).select("label", "path")
+
+
+@query("fn6_object_hash", "SELECT n_nationkey AS k, substr(sha256(concat('{\"name\": \"', n_name, '\", \"region\": ', n_regionkey, '}')), 1, 16) AS digest FROM nation")
+def _(spark, sf):
+    n = V.table(spark, sf, "nation")
+    return n.select(F.col("n_nationkey").alias("k"), S.object_hash({"region": F.col("n_regionkey"), "name": F.col("n_name")}).alias("digest"))

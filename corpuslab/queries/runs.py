@@ -128,3 +128,10 @@ def _(spark, sf):
     e = V.table(spark, sf, "events")
     runs = e.select((F.col("user_id") % 50).alias("run_id")).distinct()
     return R.pending(runs, e.where("event_type = 'error' AND user_id < 40").select((F.col("user_id") % 50).alias("run_id")))
+
+
+@query("orc4_smoke_verdict", "WITH z AS (" + _TREND + ") SELECT g AS gap, generator, init, coalesce(CASE WHEN g > 0 THEN slope < 0 ELSE lo <= 0 AND hi >= 0 END, false) AS passed, CASE WHEN NOT coalesce(CASE WHEN g > 0 THEN slope < 0 ELSE lo <= 0 AND hi >= 0 END, false) THEN concat('expected ', CASE WHEN g > 0 THEN 'a negative slope' ELSE 'an interval that holds zero' END) END AS reason FROM z, (VALUES (0.0::DOUBLE), (0.6)) v(g)")
+def _(spark, sf):
+    t = cut(R.substitution_trend(V.v_runs(spark, sf), "ba"), "trend")
+    each = lambda g: R.smoke_verdict(t, g).select(F.lit(g).alias("gap"), "generator", "init", "passed", "reason")
+    return each(0.0).unionByName(each(0.6))

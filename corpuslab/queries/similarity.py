@@ -240,3 +240,27 @@ def _contamination(spark, sf):
     hit = t.where("held").join(both, F.col("ord") == F.col("a")).join(train, ["trial", "b"], "left_semi").select("trial", "ord").distinct().withColumn("hit", F.lit(1.0))
     return t.where("held").join(hit, ["trial", "ord"], "left").groupBy("trial").agg(F.round(F.avg(F.coalesce("hit", F.lit(0.0))), 9).alias("leaked"))
 
+
+#: Published folds, a split by items, one by groups, and pairs drawn at random, over nine thresholds.
+_REGIMES = (
+    f"WITH {_PAIRS}, m AS (SELECT *, ord % 3 AS fold, md5(concat_ws('|', 21, ord)) < '4' AS by_item, md5(concat_ws('|', 22, grp)) < '4' AS by_group FROM u), "
+    "g(t) AS (SELECT unnest([0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6]::DOUBLE[])), "
+    "f AS (SELECT x.fold AS k, x.ord, max(list_dot_product(x.v, y.v)) AS sim FROM m x JOIN m y ON x.fold <> y.fold GROUP BY 1, 2), "
+    "i AS (SELECT x.ord, max(list_dot_product(x.v, y.v)) AS sim FROM m x JOIN m y ON x.by_item AND NOT y.by_item GROUP BY 1), "
+    "h AS (SELECT x.ord, max(list_dot_product(x.v, y.v)) AS sim FROM m x JOIN m y ON x.by_group AND NOT y.by_group GROUP BY 1) "
+    "SELECT 'folds' AS regime, t AS threshold, round(avg(l), 9) AS leaked FROM (SELECT k, t, avg((sim >= t)::INT::DOUBLE) AS l FROM f, g GROUP BY 1, 2) GROUP BY 2 "
+    "UNION ALL SELECT 'items', t, round(avg((sim >= t)::INT::DOUBLE), 9) FROM i, g GROUP BY 2 UNION ALL SELECT 'groups', t, round(avg((sim >= t)::INT::DOUBLE), 9) FROM h, g GROUP BY 2 "
+    "UNION ALL SELECT 'chance', t, round(avg((sim >= t)::INT::DOUBLE), 9) FROM p, g GROUP BY 2"
+)
+
+
+@query("aud16_leakage_curve", _REGIMES)
+def _(spark, sf):
+    v = vectors(spark, sf).select("ord", "v", "grp")
+    held = lambda seed, c: order_key(seed, F.col(c)) < "4"
+    folds = v.withColumn("fold", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    found = M.nearest(folds.where("ord % 3 = fold"), folds.where("ord % 3 <> fold"), by=["fold"]).select(F.lit("folds").alias("regime"), "fold", "sim")
+    for regime, test in (("items", held(21, "ord")), ("groups", held(22, "grp"))):
+        best = M.nearest(v.where(test), v.where(~test))
+        found = found.unionByName(best.select(F.lit(regime).alias("regime"), F.lit(0).alias("fold"), "sim"))
+    return G.leakage_curve(found, v, [0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6])

@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from corpuslab.operators.corpus import RECORD, validated
+from corpuslab.operators.corpus import RECORD, numbered, validated
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Record JSON lines; blank lines are skipped; `ord` follows (file, position in file) as the text reader gives them."""
     text = spark.read.text(path).where(F.trim("value") != "").withColumn("file", F.col("_metadata.file_path")).withColumn("at", F.monotonically_increasing_id())
     parsed = text.select(F.from_json("value", RECORD).alias("r"), "file", "at").select("r.*", "file", "at")
-    return validated(parsed.withColumn("ord", F.row_number().over(W.orderBy("file", "at")) - 1).drop("file", "at"))
+    return validated(numbered(parsed, [F.col("file"), F.col("at")], "ord", 0).drop("file", "at"))
 
 
 def parse_label(line: Column, least: int = 2) -> Column:
