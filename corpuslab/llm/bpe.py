@@ -353,10 +353,11 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, keep: list[str], limit: int =
     """The columns `keep` of docs, and ids, the ids of the whole text."""
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
     held = cut(blocks(docs, tokenizer, keep, limit), "blocks")
-    words = held.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    words, n_blocks = held.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     # Beyond BUCKETS buckets they grow, up to MOST words: parts of a block would become too small to pack.
     buckets = max(-(-words // MOST), min(-(-words // bucket), BUCKETS), 1)
-    found = word_ids(by_bucket(held, buckets), tokenizer)
+    # As many partitions as buckets and blocks: what a task reads doesn't grow with their number.
+    found = word_ids(by_bucket(held, buckets).repartition(buckets, "bucket"), tokenizer)
 
     def gather(left: pa.Table, right: pa.Table) -> pa.Table:
         """left: the one row of a block. right: its words' ids, from each bucket."""
@@ -381,7 +382,9 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, keep: list[str], limit: int =
         lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
         return pa.table([*own.columns[:-1], lists], [*keep, "ids"])
 
-    return held.select("block", "n", "rows", "places").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(gather, schema)
+    parts = max(n_blocks, 1)
+    left, right = held.select("block", "n", "rows", "places").repartition(parts, "block"), found.repartition(parts, "block")
+    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(gather, schema)
 
 
 def decode(coded: DataFrame, tokenizer: Tokenizer, ids: str = "ids") -> DataFrame:
