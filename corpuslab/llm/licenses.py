@@ -12,7 +12,7 @@ Only the templates' weights are broadcast, a table that the code bounds. A direc
 the join, so a directory with very many files is joined, not gathered.
 
 Edge cases: a null or empty text has no own licence and can inherit; a null path has no ancestors; ties go to the template's name, then to
-the smallest doc_id; repeated rows are scanned alike; an empty table gives an empty result; other columns are ignored.
+the smallest doc_id; very long texts are scanned whole; repeated rows are scanned alike; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ THRESHOLD = 0.75
 ANCHORS = r"(?i)licen[sc]|copyright|spdx|permission is hereby|redistribution|unlicense|public domain"
 #: Templates of more terms are compared with lines, paragraphs and whole texts only.
 LONGEST = 60
+#: Parts in which the files of a directory are joined to its licence.
+SALTS = 16
 NAMES = r"(?i)^(licen[sc]e|copying|notice|unlicense)([._-].*)?$"
 #: Terms by which a run of a document is laid on a template.
 ANCHOR_TERM = r"^(licen[sc].*|copyright|spdx.*|permission|redistribution|unlicense|public)$"
@@ -161,7 +163,10 @@ def scan(docs: DataFrame, path: Column, threshold: float = THRESHOLD, templates=
     above = need.select("dir", F.explode(F.sequence(F.lit(0), depth)).alias("k")).withColumn("folder", F.array_join(F.slice(F.split("dir", "/"), F.lit(1), F.col("k")), "/"))
     nearest = above.join(folders, "folder").groupBy("dir").agg(F.max(F.struct("k", "folder", "f_license", "f_score", "f_doc")).alias("x"))
     nearest = nearest.select("dir", F.col("x.f_license").alias("in_license"), F.col("x.f_score").alias("in_score"), F.col("x.folder").alias("from_dir"))
-    out = marked.withColumn("dir", folder).join(nearest, "dir", "left")
+    # A directory with very many files meets its one row in SALTS parts.
+    nearest = nearest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")
+    out = marked.withColumns({"dir": folder, "salt": salt}).join(nearest, ["dir", "salt"], "left")
     is_own = F.col("own_license").isNotNull()
     return out.select(
         "doc_id", "path", F.coalesce("own_license", "in_license").alias("license"), F.when(is_own, F.col("own_score")).otherwise(F.col("in_score")).alias("score"),
