@@ -1,14 +1,15 @@
 """Quality rules: base rules on counts, then a calibrated n-gram logistic regression.
 
 Base rules reject a text with under 50 words or with over half its words in repeated three-word windows. A logistic
-regression on hashed n-grams judges the rest: the shares of a text's byte trigrams, words and pairs of words in
+regression on hashed n-grams judges the rest: the shares of a text's trigrams of characters, words and pairs of words in
 DIMENSIONS buckets. It is fitted on at most SAMPLE labelled rows, chosen by hash; a fifth of them is kept out and fits the
 two numbers of the calibration. Texts pass with a calibrated probability of at least KEEP.
 
 The features of the sample are made on the executors; only they are collected, at most DIMENSIONS pairs for a row.
 
 Edge cases: a null text has no words and fails the base rules; without labels of both kinds the base rules decide alone;
-null or repeated labels of a document count by their rounded mean; an empty table gives an empty result; other columns are ignored,
+null or repeated labels of a document count by their rounded mean; of rows that repeat a labelled doc_id one text is learned from, that of the least
+hash; very long texts are read whole; ties with the threshold are kept; an empty table gives an empty result; other columns are ignored,
 or kept by `keep_good`; null doc_ids are scored like others but can't be labelled.
 """
 
@@ -23,7 +24,7 @@ from corpuslab.llm import textstats
 
 MIN_WORDS = 50
 MAX_REPEATED = 0.5
-#: Buckets for byte trigrams; as many again serve words and pairs of words.
+#: Buckets for trigrams of characters; as many again serve words and pairs of words.
 HALF = 1 << 13
 DIMENSIONS = 2 * HALF
 SAMPLE = 4000
@@ -38,20 +39,31 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint32(16))
 
 
+def code_points(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places where code points begin in UTF-8 bytes, and a number for each: its bytes, the first lowest."""
+    at = np.flatnonzero((d & 0xC0) != 0x80)
+    size = np.diff(np.append(at, len(d)))
+    value = d[at].astype(np.uint32)
+    for k in range(1, 4):
+        more = size > k
+        value[more] |= d[at[more] + k].astype(np.uint32) << np.uint32(8 * k)
+    return at, value
+
+
 def features(b: textstats.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, text) of each byte trigram, and of each word and pair of words."""
+    """(bucket, text) of each trigram of characters, and of each word and pair of words."""
     import xxhash
 
-    d = b.data.astype(np.uint32)
-    tri = _mix(d[:-2] | (d[1:-1] << np.uint32(8)) | (d[2:] << np.uint32(16))) % np.uint32(HALF) if len(d) > 2 else np.zeros(0, dtype=np.uint32)
-    doc = np.repeat(np.arange(b.n, dtype=np.int32), np.diff(b.starts))
-    inside = doc[:-2] == doc[2:] if len(d) > 2 else np.zeros(0, dtype=bool)
+    at, c = code_points(b.data)
+    tri = _mix(c[:-2] + c[1:-1] * np.uint32(0x9E3779B1) + c[2:] * np.uint32(0x85EBCA77)) % np.uint32(HALF) if len(c) > 2 else np.zeros(0, dtype=np.uint32)
+    doc = np.repeat(np.arange(b.n, dtype=np.int32), np.diff(b.starts))[at]
+    inside = doc[:-2] == doc[2:] if len(c) > 2 else np.zeros(0, dtype=bool)
     hashes = np.array([xxhash.xxh32_intdigest(w) for w in b.words.dictionary.cast(pa.large_binary()).to_pylist()], dtype=np.uint32)
     word = hashes[b.words.indices.to_numpy()] if len(hashes) else np.zeros(0, dtype=np.uint32)
     pair = _mix(word[:-1] * np.uint32(31) + word[1:])
     near = b.word_doc[:-1] == b.word_doc[1:]
     low = np.concatenate((word % np.uint32(HALF), pair[near] % np.uint32(HALF))) + np.uint32(HALF)
-    return tri[inside], doc[:-2][inside] if len(d) > 2 else doc[:0], low, np.concatenate((b.word_doc, b.word_doc[:-1][near]))
+    return tri[inside], doc[:-2][inside] if len(c) > 2 else doc[:0], low, np.concatenate((b.word_doc, b.word_doc[:-1][near]))
 
 
 def _score(b: textstats.Block, weights: np.ndarray, bias: float) -> np.ndarray:
@@ -72,7 +84,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, seed: int =
     own = own.groupBy("doc_id").agg(F.round(F.avg("quality")).cast("int").alias("label"))
     own = own.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample).select(F.col("doc_id").alias("__id"), "label")
     found = docs.select(F.col("doc_id").alias("__doc"), F.col("text").cast("string").alias("text"))
-    return found.join(F.broadcast(own), F.col("__doc") == F.col("__id")).select("text", "label", F.col("__id").alias("id"))
+    joined = found.join(F.broadcast(own), F.col("__doc") == F.col("__id"))
+    one = joined.groupBy("__id", "label").agg(F.min_by("text", F.coalesce(F.xxhash64("text"), F.lit(0))).alias("text"))
+    return one.select("text", "label", F.col("__id").alias("id"))
 
 
 def sample_features(sample: DataFrame) -> list:

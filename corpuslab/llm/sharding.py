@@ -5,7 +5,8 @@ rows sorted by that rank are cut into shards of equal counts, so every shard hol
 proportions, and so does every prefix of a shard.
 
 Edge cases: a null text has no bytes and checksum 0; a null source is a source of its own, sorted last; equal rows
-are placed one after the other; an empty table gives no rows; fewer rows than shards leave shards empty.
+are placed one after the other; null doc_ids take part; a very long text counts as one row; other columns are ignored; an empty table gives no
+rows; fewer rows than shards leave shards empty.
 """
 
 from __future__ import annotations

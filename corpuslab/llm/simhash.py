@@ -11,7 +11,7 @@ of the forest are found by passing least labels along links, with pointer jumpin
 
 Edge cases: a null text counts as empty; a text without words has fingerprint 0, linked like any other; equal texts
 have equal fingerprints and are compared once; null doc_ids get the component of their fingerprint, null if it has no other
-document; an empty table gives an empty result; other columns are ignored or, in `drop_copies`, kept.
+document; a very long text is read whole; an empty table gives an empty result; other columns are ignored or, in `drop_copies`, kept.
 """
 
 from __future__ import annotations
