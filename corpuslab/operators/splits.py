@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime
 import json
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +12,7 @@ from pyspark.sql import Window as W
 
 from corpuslab.functions.draws import order_key
 from corpuslab.operators.corpus import majority_label
+from corpuslab.plans.scratch import append_line
 
 FRACTIONS = {"train": 0.65, "val": 0.15, "test": 0.20}
 SEED = 20260101
@@ -118,8 +118,7 @@ class SplitBundle:
         if not reason:
             raise ValueError("a reason is needed")
         line = {"timestamp": datetime.datetime.now(datetime.timezone.utc).isoformat(), "run_id": run_id, "reason": reason, "n_test": self.test_size()}
-        with Path(self._log).open("a") as f:
-            f.write(json.dumps(line) + "\n")
+        append_line(self._spark, self._log, json.dumps(line))
         self._open = True
         return self.test
 

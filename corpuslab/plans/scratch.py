@@ -53,3 +53,25 @@ def delete(spark: SparkSession, path: str) -> None:
 def sweep(spark: SparkSession) -> None:
     """Deletes all cut tables of this application."""
     delete(spark, shared_folder(spark))
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file in any store that Spark can reach."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def append_line(spark: SparkSession, path: str, line: str) -> None:
+    """Adds a line to a small file in any store: few stores can append, so the file with the line takes its place under its name once it is whole."""
+    jvm = spark.sparkContext._jvm
+    at, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    before = "".join(f"{r[0]}\n" for r in spark.read.text(path).collect()) if fs.exists(at) else ""
+    write_text(spark, new.toString(), f"{before}{line}\n")
+    fs.delete(at, False)
+    fs.rename(new, at)

@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslab.plans.scratch import write_text
+
 
 def write_records(records: DataFrame, path: str) -> None:
     records.select("path", "label", "source", "grp", "meta").write.json(path)
@@ -27,7 +29,7 @@ def write_report(report: DataFrame, path: str) -> None:
     rows = report.limit(2).collect()
     if len(rows) != 1:
         raise ValueError("a report has one row")
-    Path(path).write_text(json.dumps(rows[0].asDict(recursive=True), indent=1, default=str))
+    write_text(report.sparkSession, path, json.dumps(rows[0].asDict(recursive=True), indent=1, default=str))
 
 
 def write_tables(tables: dict[str, DataFrame], folder: str) -> None:

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import json
+import struct
+import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from corpuslab.functions.scalars import object_hash
-from corpuslab.operators import audits, corpus, gate
+from corpuslab.operators import audits, corpus, gate, images, similarity
+from corpuslab.registry import QUERIES
 from corpuslab.sources import readers, writers
 
 
@@ -40,3 +44,81 @@ def test_empty_classes_stay(spark):
 def test_pair_consistency_of_nothing(spark):
     r = audits.pair_consistency(spark.createDataFrame([], "d string, l int, c int"), "d", "l", "c").first()
     assert (r["pairs"], r["same_label"], r["same_count"], r["median"]) == (0, 0, 0, None)
+
+
+def png(pixels: np.ndarray) -> bytes:
+    """An image file of (height, width, 3) bytes, uncompressed filters."""
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    h, w, _ = pixels.shape
+    rows = b"".join(b"\0" + r.tobytes() for r in pixels.astype(np.uint8))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def test_images(spark, tmp_path):
+    r = np.random.default_rng(0)
+    base = np.kron(r.integers(0, 256, (8, 8, 3)), np.ones((12, 16, 1)))
+    pictures = {"a": base, "b": np.clip(base + r.normal(0, 2, base.shape), 0, 255), "c": r.integers(0, 256, (50, 40, 3)), "d": np.full((4, 4, 3), 90)}
+    for name, p in pictures.items():
+        (tmp_path / f"{name}.png").write_bytes(png(np.asarray(p)))
+    (tmp_path / "broken.png").write_bytes(b"\x89PNG nothing")
+    assert {(s["path"][-5], s["width"], s["height"]) for s in readers.image_sizes(spark, str(tmp_path)).collect()} == {("a", 128, 96), ("b", 128, 96), ("c", 40, 50), ("d", 4, 4)}
+    loaded = images.load(spark, str(tmp_path))
+    h = {s["path"][-5]: s["h"] for s in images.hashes(loaded).collect()}
+    apart = lambda p, q: ((h[p] ^ h[q]) & (2**64 - 1)).bit_count()
+    assert apart("a", "b") <= 8 < apart("a", "c")
+    plain = np.asarray(pictures["a"]).astype(np.uint8).astype(float)
+    assert h["a"] % 2**64 == images.perceptual_hash(plain)
+    v = {s["path"][-5]: s["v"] for s in images.pixel_vectors(loaded).collect()}
+    small = plain.reshape(32, 3, 32, 4, 3).mean(axis=(1, 3)).ravel() / 255
+    assert len(v["a"]) == 32 * 32 * 3 and np.allclose(v["a"], small - small.mean()) and np.allclose(v["d"], 0)
+    pairs = similarity.hamming_pairs(images.hashes(loaded), 8, "path").collect()
+    assert {(p["a"][-5], p["b"][-5]) for p in pairs} == {("a", "b")}
+
+
+def test_hamming_pairs_are_all_pairs(spark):
+    r = np.random.default_rng(1)
+    base = r.integers(0, 2**63, 40)
+    hashes = np.concatenate([base, *(base ^ np.bitwise_or.reduce(1 << r.integers(0, 63, (k, 40)), axis=0) for k in (1, 4, 8, 9))])
+    rows = [(int(i), int(h)) for i, h in enumerate(hashes)] + [(1000 + k, int(hashes[0])) for k in range(60)]
+    got = {(p["a"], p["b"], p["distance"]) for p in similarity.hamming_pairs(spark.createDataFrame(rows, "ord long, h long"), 8, chunk=16).collect()}
+    want = {(a, b, (x ^ y).bit_count()) for a, x in rows for b, y in rows if a < b and (x ^ y).bit_count() <= 8}
+    assert got == want
+
+
+def test_ranks_of_pairs_are_those_of_a_sort(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    x = r.normal(size=(90, 6))
+    x[40:60] = x[39]  # ties
+    x[5] = 0  # says nothing
+    df = spark.createDataFrame([(i, i // 3, v.tolist()) for i, v in enumerate(x)], "ord long, grp long, v array<double>")
+    u = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-12)
+    s = np.array([u[i] @ u[j] for i in range(90) for j in range(i) if i // 3 != j // 3 and 5 not in (i, j)])
+    monkeypatch.setattr(similarity, "FEW", 50)
+    n, ranked, q, counts, most = similarity.pair_ranks(df, lambda n: [0, n // 2, n - 1], [0.25, 0.9, 0.999], [0.5, 0.999999], apart="grp", block=20)
+    assert n == len(s) and np.allclose(ranked, np.sort(s)[[0, n // 2, n - 1]]) and np.allclose(q, np.quantile(s, [0.25, 0.9, 0.999]))
+    assert counts[0] == ((s >= 0.5).sum(), (s > 0.5).sum()) and np.isclose(most, s.max())
+    best = {b["i"]: b["score"] for b in similarity.best_of_each(df, block=20).collect()}
+    full = u @ u.T - 3 * np.eye(90)
+    full[:, 5] = -3
+    assert 5 not in best and all(np.isclose(best[i], full[i].max()) for i in range(90) if i != 5)
+
+
+def test_report_and_audit_log(spark, tmp_path):
+    writers.write_report(spark.createDataFrame([(1, "x")], "a int, b string"), f"file://{tmp_path}/r.json")
+    assert json.loads((tmp_path / "r.json").read_text()) == {"a": 1, "b": "x"}
+
+
+def test_head_queries(spark, sf):
+    one = QUERIES["cls2_heads"](spark, sf).collect()
+    assert {r["head"] for r in one} == {"logreg", "forest"} and all(0 <= r["accuracy"] <= 1 and r["n"] > 0 for r in one)
+    two = {r["arm"]: r for r in QUERIES["cls3_arm_sweep"](spark, sf).collect()}
+    assert set(two) == {"all", "half"} and two["all"]["n"] == two["half"]["n"]
+    folds, stratum = QUERIES["cls8_cross_validated"](spark, sf).first(), QUERIES["abl3_stratum_feature"](spark, sf).first()
+    assert folds["n"] == spark.read.parquet(f"{sf}/embeddings.parquet").count() and 0 <= stratum["accuracy"] <= 1
+
+
+def test_stream_counts_every_window_that_is_closed(spark, sf):
+    got = QUERIES["str1_manifest_stream"](spark, sf).collect()
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    total = sum(sum(v for k, v in r.asDict().items() if k in ("ok", "empty", "throttled")) for r in got)
+    assert 0 < total <= events.count() and len({(r["substrate"], r["start"]) for r in got}) == len(got)
