@@ -17,13 +17,14 @@ no key is hot.
 Decoding concatenates the ids' pieces.
 
 Edge cases: a null text counts as empty and has no tokens; letters, numbers and white space are told apart by Unicode's
-properties as the Java runtime knows them; very long texts are encoded whole, and a block holds at most about BLOCK bytes or one document;
+properties as the Java runtime knows them; very long texts are encoded whole, and a block holds about BLOCK bytes at most, and one batch or document more;
 an empty table gives an empty result; repeated rows are encoded alike; of the other columns those asked for are kept.
 """
 
 from __future__ import annotations
 
 import base64
+import contextlib
 import io
 import struct
 
@@ -40,6 +41,8 @@ from corpuslab.plans.scratch import cut
 BLOCK = 48 << 20
 #: Words of blocks that meet in a bucket, on average; the number of buckets beyond which they grow, and how far.
 BUCKET, BUCKETS, MOST = 400_000, 4096, 2_000_000
+#: Documents that pass to Python at once.
+ROWS = 1000
 #: How hard blocks are compressed.
 LEVEL = 6
 #: Words whose ids are gathered at once.
@@ -263,6 +266,18 @@ def slices(lists: pa.ListArray, limit: int):
     return list(zip(cuts[:-1], cuts[1:]))
 
 
+@contextlib.contextmanager
+def few_rows(spark: SparkSession, rows: int = ROWS):
+    """What is run within passes at most this many rows to Python at once: texts take their room in both processes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def blocks(docs: DataFrame, tokenizer: Tokenizer, keep: list[str], limit: int = BLOCK) -> DataFrame:
     """block, n, rows, places, words: n distinct words, the most frequent first, the places of a block's words among them, and rows, the
     columns to keep with the number of each document's words; all packed."""
@@ -272,25 +287,37 @@ def blocks(docs: DataFrame, tokenizer: Tokenizer, keep: list[str], limit: int =
 
         lean()
         block = TaskContext.get().partitionId() << 32
+        rows, codes, held = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            chunks = pa.chunked_array(codes).unify_dictionaries().chunks
+            words, index = chunks[0].dictionary, np.concatenate([c.indices.to_numpy() for c in chunks])
+            order = np.argsort(-np.bincount(index, minlength=len(words)), kind="stable")
+            place = np.empty(len(order), dtype=np.int32)
+            place[order] = np.arange(len(order), dtype=np.int32)
+            own = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+            data = [pa.array([x], pa.binary()) for x in (packed(own), squeezed(place[index]), squeezed(*bytes_of(words.take(pa.array(order)))))]
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([len(order)], pa.int64()), *data], ["block", "n", "rows", "places", "words"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             for lo, hi in slices(batch.column(batch.num_columns - 1), limit):
                 part = batch.slice(lo, hi - lo)
                 lists = part.column(part.num_columns - 1)
-                coded = lists.flatten().dictionary_encode()
-                index = coded.indices.to_numpy()
-                order = np.argsort(-np.bincount(index, minlength=len(coded.dictionary)), kind="stable")
-                place = np.empty(len(order), dtype=np.int32)
-                place[order] = np.arange(len(order), dtype=np.int32)
-                sizes = pc.list_value_length(lists).cast(pa.int32())
-                rows = packed(pa.RecordBatch.from_arrays([*part.columns[:-1], sizes], [*keep, "__sizes"]))
-                words = squeezed(*bytes_of(coded.dictionary.take(pa.array(order))))
-                data = [pa.array([x], pa.binary()) for x in (rows, squeezed(place[index]), words)]
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([len(order)], pa.int64()), *data], ["block", "n", "rows", "places", "words"])
-                block += 1
-                del part, lists, coded, index, order, place, sizes, rows, words, data
-            del batch
+                words = lists.flatten()
+                # The words themselves are kept once; the rest of the batch is let go.
+                codes.append(words.dictionary_encode())
+                rows.append(pa.RecordBatch.from_arrays([*part.columns[:-1], pc.list_value_length(lists).cast(pa.int32())], [*keep, "__sizes"]))
+                held += int(bytes_of(words)[0].sum())
+                if held >= limit:
+                    yield flush()
+                    block += 1
+                    rows.clear()
+                    codes.clear()
+                    held = 0
+        if rows:
+            yield flush()
 
     return docs.select(*keep, tokenizer.words(F.col("text").cast("string")).alias("__words")).mapInArrow(pack, "block long, n long, rows binary, places binary, words binary")
 
@@ -352,7 +379,8 @@ def word_ids(dealt: DataFrame, tokenizer: Tokenizer) -> DataFrame:
 def encode(docs: DataFrame, tokenizer: Tokenizer, keep: list[str], limit: int = BLOCK, bucket: int = BUCKET) -> DataFrame:
     """The columns `keep` of docs, and ids, the ids of the whole text."""
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    held = cut(blocks(docs, tokenizer, keep, limit), "blocks")
+    with few_rows(docs.sparkSession):
+        held = cut(blocks(docs, tokenizer, keep, limit), "blocks")
     words, n_blocks = held.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     # Beyond BUCKETS buckets they grow, up to MOST words: parts of a block would become too small to pack.
     buckets = max(-(-words // MOST), min(-(-words // bucket), BUCKETS), 1)
