@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.llm import bpe, mixing, quality_gam, quality_rules, simhash
 from corpuslab.llm.common import table
-from corpuslab.plans.scratch import cut
+from corpuslab.plans.scratch import cut, drop
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,5 +61,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "_").lower())
+        before, docs = docs, cut(stage(spark, docs, sf_dir), name.replace(" ", "_").lower())
+        drop(before)  # a stage's own table; the documents stay
     return docs
