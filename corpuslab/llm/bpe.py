@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import base64
 import contextlib
+import ctypes
 import io
 import struct
 
@@ -200,8 +201,12 @@ class Tokenizer:
 
 
 def lean() -> None:
-    """Called in a worker: memory that arrays leave goes back to the machine, which other workers share."""
+    """Called in a worker before and after its work: memory that arrays leave goes back to the machine, which idle and other workers share."""
     pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not the C library that has it
+        pass
 
 
 def squeezed(*arrays: np.ndarray) -> bytes:
@@ -288,6 +293,7 @@ def blocks(docs: DataFrame, tokenizer: Tokenizer, keep: list[str], limit: int =
         lean()
         block = TaskContext.get().partitionId() << 32
         rows, codes, held = [], [], 0
+        batch = part = lists = words = None
 
         def flush() -> pa.RecordBatch:
             chunks = pa.chunked_array(codes).unify_dictionaries().chunks
@@ -316,8 +322,13 @@ def blocks(docs: DataFrame, tokenizer: Tokenizer, keep: list[str], limit: int =
                     rows.clear()
                     codes.clear()
                     held = 0
+                    lean()
         if rows:
             yield flush()
+            rows.clear()
+            codes.clear()
+        del words, part, lists, batch
+        lean()
 
     return docs.select(*keep, tokenizer.words(F.col("text").cast("string")).alias("__words")).mapInArrow(pack, "block long, n long, rows binary, places binary, words binary")
 
@@ -348,7 +359,7 @@ def word_ids(dealt: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     """block, ids: the ids of a block's words of one bucket, packed with the steps between their places. Each distinct word of a bucket is folded once."""
 
     def meet(table: pa.Table) -> pa.Table:
-        lean()
+        lean()  # of what the bucket before took
         parts = [unsqueezed(x.as_py()) for x in table.column("words")]
         coded = pa.concat_arrays([words_of(sizes, data) for _, sizes, data in parts]).dictionary_encode()
         ends = np.cumsum([len(steps) for steps, _, _ in parts])
@@ -368,6 +379,8 @@ def word_ids(dealt: DataFrame, tokenizer: Tokenizer) -> DataFrame:
                     own = ids.take(pa.array(w))
                     out.append(squeezed(steps, pc.list_value_length(own).to_numpy().astype(np.int32), own.flatten().to_numpy()))
                 yield pa.RecordBatch.from_arrays([block, pa.array(out, pa.binary())], ["block", "ids"])
+                del out
+                lean()
 
     met = dealt.groupBy("bucket").applyInArrow(meet, "distinct array<string>, block array<long>, which array<binary>")
     # The map is no column of the rows that run: used once, it is put in its place when the plan is optimised.
@@ -402,12 +415,15 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, keep: list[str], limit: int =
         ends = np.concatenate(([0], np.cumsum(own.column(own.num_columns - 1).to_numpy())))
         offsets = np.concatenate(([0], after))[ends]
         ids = np.empty(offsets[-1], dtype=np.int32)
+        of_word = steps = some = None
         for lo in range(0, len(place), STEP):
             some = place[lo : lo + STEP]
             first, of_word = after[lo - 1] if lo else 0, sizes[some]
             steps = np.cumsum(of_word)
             ids[first : first + steps[-1]] = flat[np.repeat((begin[some] - steps + of_word).astype(np.int32), of_word) + np.arange(steps[-1], dtype=np.int32)]
         lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
+        del of_word, steps, some, place, after, parts, flat, lengths, at
+        lean()
         return pa.table([*own.columns[:-1], lists], [*keep, "ids"])
 
     parts = max(n_blocks, 1)
