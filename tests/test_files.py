@@ -10,7 +10,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from corpuslab.functions.scalars import object_hash
+from corpuslab import __main__ as cli
 from corpuslab.operators import audits, corpus, gate, images, similarity
+from corpuslab.operators.runs import load_runs
 from corpuslab.registry import QUERIES
 from corpuslab.sources import readers, writers
 
@@ -122,3 +124,48 @@ def test_stream_counts_every_window_that_is_closed(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet")
     total = sum(sum(v for k, v in r.asDict().items() if k in ("ok", "empty", "throttled")) for r in got)
     assert 0 < total <= events.count() and len({(r["substrate"], r["start"]) for r in got}) == len(got)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    r = np.random.default_rng(4)
+    for k, (seed, frac) in enumerate((s, f) for s in range(3) for f in (0.0, 0.5, 1.0)):
+        config = {"arm": f"sub_p{int(100 * frac):03d}", "mix_kind": "substitution", "synthetic_fraction": frac, "generator": "synth_open", "init": "scratch", "seed": seed}
+        (tmp_path / "runs" / str(seed)).mkdir(parents=True, exist_ok=True)
+        record = {"run_id": f"r{k}", "config": config, "val": {"balanced_accuracy": 0.6 - 0.2 * frac + 0.005 * r.random()}}
+        (tmp_path / "runs" / str(seed) / f"run_{k}.json").write_text(json.dumps(record))
+    (tmp_path / "runs" / "run_copy.json").write_text((tmp_path / "runs" / "0" / "run_0.json").read_text())
+    runs = load_runs(spark, str(tmp_path / "runs"))
+    assert runs.count() == 9 and {x["split"] for x in runs.collect()} == {"val"}
+    assert cli.main(["smoke", str(tmp_path / "runs")]) == 0
+    assert cli.main(["smoke", str(tmp_path / "runs"), "--gap", "0"]) == 1
+    assert cli.main(["smoke", str(tmp_path / "runs"), "--log", f"{tmp_path}/none.jsonl"]) == 1
+    x = r.normal(size=(40, 8))
+    x[30:] = x[:10] + 0.001
+    rows = [(i, "real" if i < 20 else "synth_open", v.tolist()) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "ord long, source string, v array<double>").write.parquet(f"{tmp_path}/v.parquet")
+    capsys.readouterr()
+    assert cli.main(["calibrate", f"{tmp_path}/v.parquet", "--mode", "per_pair", "--rate", "0.02", "--reference", "0.99"]) == 0
+    out = capsys.readouterr().out
+    found = json.loads(out[out.index("{") : out.index("}") + 1])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.sort((u @ u.T)[np.triu_indices(40, 1)])
+    assert found["pairs"] == len(s) and np.isclose(found["median"], np.median(s)) and np.isclose(found["threshold"], min(s[len(s) - 1 - int(0.02 * len(s))], 1.0))
+    assert cli.main(["controls", f"{tmp_path}/v.parquet", f"{tmp_path}/out"]) == 0
+    report = spark.read.csv(f"{tmp_path}/out/memorisation", header=True, inferSchema=True).first()
+    assert report["n"] == 20 and np.isclose(report["rate"], 0.5)
+    assert cli.main(["list"]) == 0 and "flagship_cluster_report" in capsys.readouterr().out
+
+
+def test_readers_of_tables(spark, tmp_path):
+    (tmp_path / "m.tsv").write_text('id\tname\n1\t"a b"\n2\tc\n')
+    (tmp_path / "m.csv").write_text('id,name\n1,"a, b"\n')
+    (tmp_path / "l_3.txt").write_text("p1.jpg 2 14 extra\nbad\np2.jpg 0 3\np3.jpg 9 1\n\n")
+    coco = {"images": [{"id": 1, "file_name": "a.jpg"}, {"id": 2, "file_name": "b.jpg"}], "annotations": [{"id": 7, "image_id": 1}, {"id": 8, "image_id": 1}]}
+    (tmp_path / "c.json").write_text(json.dumps(coco))
+    assert [tuple(r)[:2] for r in readers.read_tsv(spark, str(tmp_path / "m.tsv"), "id string, name string").orderBy("id").collect()] == [("1", "a b"), ("2", "c")]
+    assert [tuple(r)[:2] for r in readers.read_csv(spark, str(tmp_path / "m.csv"), "id string, name string").collect()] == [("1", "a, b")]
+    assert sorted((r["name"], r["grade"], r["lesions"]) for r in readers.read_labels(spark, str(tmp_path / "l_3.txt")).collect()) == [("p1.jpg", 2, 14), ("p2.jpg", 0, 3)]
+    assert {(r["file_name"], r["n"]) for r in readers.read_coco(spark, str(tmp_path / "c.json")).collect()} == {("a.jpg", 2), ("b.jpg", 0)}
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "f.png").write_bytes(b"123")
+    assert [(r["name"], r["length"]) for r in readers.list_files(spark, str(tmp_path / "x"), "*.png").collect()] == [("f.png", 3)]
