@@ -11,7 +11,8 @@ from pyspark.sql import Window as W
 from corpuslab.functions.draws import draw, uniform
 from corpuslab.operators.mixing import largest_remainder
 
-#: The axes of a prompt and how many values each has.
+# The axes of a prompt and how many values each has, the regimes, the shares of the classes of the toy corpus, and the least and
+# greatest number of spots in each class.
 AXES = {"age": 3, "sex": 2, "tone": 6, "view": 3, "light": 4, "distance": 3, "scene": 4}
 REGIMES = ("plain", "diverse", "matched")
 PRIOR = (0.40, 0.33, 0.19, 0.08)

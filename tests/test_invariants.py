@@ -24,13 +24,13 @@ def test_majority_prediction_has_chance_recall(spark):
 
 
 def test_holm(spark):
-    t = spark.createDataFrame([("a", 0.001), ("b", 0.04), ("c", 0.30)], "name string, p double")
+    t = spark.createDataFrame([("a", 0.004), ("b", 0.03), ("c", 0.41)], "name string, p double")
     assert {r["name"]: r["reject"] for r in statistics.holm(t).collect()} == {"a": True, "b": False, "c": False}
 
 
 def test_exchange_rate(spark):
-    k, y = [0.0, 1.0, 2.0, 4.0, 8.0], [0.60, 0.63, 0.66, 0.69, 0.70]
-    for target, want in ((0.69, 4.0), (0.675, 3.0), (0.5, 0.0), (0.9, math.inf)):
+    k, y = [0.0, 0.5, 1.5, 3.5], [0.41, 0.45, 0.53, 0.57]
+    for target, want in ((0.53, 1.5), (0.49, 1.0), (0.40, 0.0), (0.58, math.inf)):
         c = spark.createDataFrame([("x", a, b, target) for a, b in zip(k, y)], "g string, k double, y double, target double")
         assert math.isclose(statistics.first_crossing(c, ["g"], "k", "y", "target").first()["k"], want, abs_tol=1e-9)
 
