@@ -147,6 +147,19 @@ def test_mixture(spark):
     assert all(copies[x["doc_id"]] == x["repeats"] for x in got)
 
 
+@pytest.mark.parametrize("copies", [500, 37])
+def test_mixture_of_copies(spark, copies):
+    """Rows that are equal in everything are taken in part: the source comes as near its target as by single rows."""
+    text = " ".join(["w"] * 20)
+    rows = [(None, text, "en", "a", 0)] * copies + [(i, " ".join(["v"] * (i % 30)), "en", "b", 0) for i in range(300)]
+    df = spark.createDataFrame(rows, DOCS).repartition(5)
+    got = mixing.mix(df).collect()
+    a = [r for r in got if r["source_size"] == 20 * copies]
+    assert len(a) == copies and abs(sum(r["taken"] for r in a) - a[0]["target"]) <= 20
+    assert sum(r["taken"] for r in mixing.mix(df).collect()) == sum(r["taken"] for r in got)
+    assert mixing.repeat_documents(df).where("doc_id IS NULL").count() == sum(r["repeats"] for r in a)
+
+
 def test_mixture_edges(docs, empty):
     assert mixing.mix(docs).count() == len(ROWS) and mixing.mix(empty).count() == 0
     assert mixing.repeat_documents(docs).columns == docs.columns and mixing.repeat_documents(empty).count() == 0
@@ -252,6 +265,27 @@ def test_nearest(spark):
     assert 320 not in got and ann.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_nearest_ties_at_any_scale(spark):
+    """Equal candidates whose quantisation is exact: rounding must not drop the smaller ids."""
+    r = np.random.default_rng(3)
+    for scale in (1e9 / 3, 1e-7 / 7):
+        base = r.integers(-127, 128, (1, 16)).astype(float)
+        base[0, 0] = 127
+        x = np.vstack([r.integers(-127, 128, (1, 16)) * 1.0, np.repeat(base, 60, axis=0)]) * scale
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = [h["vec_id"] for h in ann.nearest(df, F.col("vec_id") == 0, slices=2).orderBy("rank").collect()]
+        assert got == list(range(1, 21))
+
+
+def test_one_id_with_two_vectors(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(50, 8))
+    df = spark.createDataFrame([(0, x[0].tolist()), (0, x[1].tolist()), *((i, x[i].tolist()) for i in range(2, 50))], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") == 0, k=5, slices=3).collect()
+    want = sorted((k + 1, int(j)) for q in (0, 1) for k, j in enumerate([j for j in np.argsort(-(x @ x[q])) if j > 1][:5]))
+    assert sorted((h["rank"], h["vec_id"]) for h in got) == want
+
+
 def test_simhash(spark, docs, empty):
     r = random.Random(7)
     base = [[f"w{r.randrange(3000)}" for _ in range(r.randrange(3, 120))] for _ in range(60)]
@@ -321,21 +355,3 @@ def test_extraction(spark, empty):
 
 def test_registered_names():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
-
-
-def test_pipeline(spark, sf, encoding):
-    """The stages one by one, each against a brute-force version on its own input."""
-    import corpus_pipeline
-
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "quality classifier", "SimHash near-dedup", "mixing sources", "byte-level BPE"]
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    columns = docs.columns
-    kept = corpus_pipeline.rules(spark, docs, sf)
-    verdict = {r["doc_id"] for r in quality_rules.judge(docs, docs, spark.read.parquet(f"{sf}/labels.parquet")).collect() if r["kept"]}
-    assert kept.columns == columns and {r["doc_id"] for r in kept.collect()} == verdict
-    once = corpus_pipeline.near_duplicates(spark, kept, sf)
-    assert once.columns == columns and once.count() == len({r["component_id"] for r in simhash.near_duplicates(kept).collect()})
-    mixed = corpus_pipeline.mixture(spark, once, sf)
-    assert mixed.columns == columns
-    for r in corpus_pipeline.tokens(spark, mixed.limit(20), sf).join(docs.select("doc_id", "text"), "doc_id").collect():
-        assert r["ids"] == encoding.encode_ordinary(r["text"]) and r["round_trip"] and r["n_tokens"] == len(r["ids"])
