@@ -28,6 +28,7 @@ import contextlib
 import ctypes
 import io
 import struct
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -296,13 +297,19 @@ def blocks(docs: DataFrame, tokenizer: Tokenizer, keep: list[str], limit: int =
         batch = part = lists = words = None
 
         def flush() -> pa.RecordBatch:
-            chunks = pa.chunked_array(codes).unify_dictionaries().chunks
-            words, index = chunks[0].dictionary, np.concatenate([c.indices.to_numpy() for c in chunks])
-            order = np.argsort(-np.bincount(index, minlength=len(words)), kind="stable")
+            unified = pa.chunked_array(codes).unify_dictionaries()
+            codes.clear()
+            words, chunks = unified.chunk(0).dictionary, [c.indices.to_numpy() for c in unified.chunks]
+            order = np.argsort(-sum(np.bincount(c, minlength=len(words)) for c in chunks), kind="stable")
             place = np.empty(len(order), dtype=np.int32)
             place[order] = np.arange(len(order), dtype=np.int32)
+            places, at = np.empty(len(unified), dtype=np.int32), 0
+            for c in chunks:
+                places[at : at + len(c)] = place[c]
+                at += len(c)
+            del unified, chunks, c
             own = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
-            data = [pa.array([x], pa.binary()) for x in (packed(own), squeezed(place[index]), squeezed(*bytes_of(words.take(pa.array(order)))))]
+            data = [pa.array([x], pa.binary()) for x in (packed(own), squeezed(places), squeezed(*bytes_of(words.take(pa.array(order)))))]
             return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([len(order)], pa.int64()), *data], ["block", "n", "rows", "places", "words"])
 
         for batch in batches:
@@ -320,13 +327,11 @@ def blocks(docs: DataFrame, tokenizer: Tokenizer, keep: list[str], limit: int =
                     yield flush()
                     block += 1
                     rows.clear()
-                    codes.clear()
                     held = 0
                     lean()
         if rows:
             yield flush()
             rows.clear()
-            codes.clear()
         del words, part, lists, batch
         lean()
 
@@ -337,15 +342,16 @@ def by_bucket(held: DataFrame, buckets: int) -> DataFrame:
     """bucket, block, words: the words of a block that fall into a bucket by their hash, and the steps between their places, packed."""
 
     def deal(batches):
-        import pandas as pd
-
         lean()
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = words_of(*unsqueezed(data.as_py()))
-                if not len(words):
+                sizes, raw = unsqueezed(data.as_py())
+                if not len(sizes):
                     continue
-                own = (pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object), categorize=False) % np.uint64(buckets)).astype(np.int32)
+                ends = np.cumsum(sizes)
+                view = memoryview(raw)
+                own = (np.fromiter((zlib.crc32(view[a:b]) for a, b in zip((ends - sizes).tolist(), ends.tolist())), dtype=np.uint32, count=len(sizes)) % np.uint32(buckets)).astype(np.int32)
+                words = words_of(sizes, raw)
                 order = np.argsort(own, kind="stable").astype(np.int32)
                 words, own = words.take(pa.array(order)), own[order]
                 starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
