@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import base64
 import contextlib
-import ctypes
 import io
 import struct
 import zlib
@@ -37,6 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuslab.llm.common import lean
 from corpuslab.plans.scratch import cut
 
 #: Bytes of words in a block, about.
@@ -201,15 +201,6 @@ class Tokenizer:
         return bind(F.transform(F.split(latin, ""), lambda c: F.get(t["bytes"], F.ascii(c))), folded)
 
 
-def lean() -> None:
-    """Called in a worker before and after its work: memory that arrays leave goes back to the machine, which idle and other workers share."""
-    pa.set_memory_pool(pa.system_memory_pool())
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except AttributeError:  # not the C library that has it
-        pass
-
-
 def squeezed(*arrays: np.ndarray) -> bytes:
     """Arrays as bytes: of each array first all lowest bytes, then all second ones, so that the high bytes, mostly zero, stand together."""
     import zstandard

@@ -120,7 +120,7 @@ def keyed(goal: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
     """doc_id, size, source_size, target, taken, repeats: for each row of docs (doc_id, source, text)."""
-    sized = cut(sizes(docs, seed), "sizes")
+    sized = cut(sizes(docs, seed).hint("rebalance"), "sizes")
     rows = sized.withColumnsRenamed({"skey": "__skey", "lot": "__lot"}).join(keyed(plan(sized, weights, epochs)), "__skey")
     drawn = repeated(rows).select("doc_id", "size", "__goal.source_size", "__goal.target", F.col("__times").cast("long").alias("repeats"))
     return drawn.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats")
@@ -129,7 +129,7 @@ def mix(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, epochs: int = EPOCHS
 def repeat_documents(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
     """The mixed corpus: each row of docs as often as the mix takes it, with the columns of docs. Only the plan, a row
     for each source, is joined to the texts."""
-    goal = keyed(plan(cut(sizes(docs, seed), "sizes"), weights, epochs))
+    goal = keyed(plan(cut(sizes(docs, seed).hint("rebalance"), "sizes"), weights, epochs))
     rows = docs.withColumns({"__skey": source_key(F.col("source")), "__lot": lots(seed, docs)}).join(goal, "__skey")
     taken = repeated(rows).where(F.col("__times") > 0)
     return taken.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*docs.columns)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.llm import textstats
+from corpuslab.llm.common import leanly
 from corpuslab.llm.quality_rules import labelled_sample, platt, sigmoid
 
 SAMPLE = 20000
@@ -189,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Additive:
     rows = labelled_sample(docs, labels, sample, where=~held_out(F.col("doc_id")))
 
     def scan(batches):
-        for batch in batches:
+        for batch in leanly(batches):
             for lo, hi in textstats.pieces(batch.column(0)) if batch.num_rows else []:
                 part = batch.slice(lo, hi - lo)
                 x = features(part.column(0))
@@ -200,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Additive:
 
 
 def _score_batches(batches, model: Additive, threshold: float, rows: bool):
-    for batch in batches:
+    for batch in leanly(batches):
         for lo, hi in textstats.pieces(batch.column(1)) if batch.num_rows else []:
             part = batch.slice(lo, hi - lo)
             s = model.score(features(part.column(1)))

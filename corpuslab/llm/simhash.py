@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuslab.llm.common import leanly
 from corpuslab.operators.components import components
 from corpuslab.plans.scratch import cut
 
@@ -62,8 +63,9 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp: fp is the fingerprint as a signed long."""
 
     def scan(batches):
-        for batch in batches:
-            out = np.fromiter((fingerprint(x or b"", shingle) for x in batch.column(1).cast(pa.binary()).to_pylist()), dtype=np.uint64, count=batch.num_rows)
+        for batch in leanly(batches):
+            texts = batch.column(1).cast(pa.binary())  # taken one at a time: a list would hold the batch twice
+            out = np.fromiter((fingerprint(x.as_py() or b"", shingle) for x in texts), dtype=np.uint64, count=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(out.view(np.int64))], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, "doc_id long, fp long")
@@ -145,7 +147,7 @@ def links(nodes: DataFrame, distance: int = DISTANCE, chunk: int = CHUNK) -> Dat
             a, b = linked(fps, np.cumsum(new), distance)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-        for batch in batches:
+        for batch in leanly(batches):
             if not batch.num_rows:
                 continue
             rest.append(batch)
@@ -168,7 +170,8 @@ def links(nodes: DataFrame, distance: int = DISTANCE, chunk: int = CHUNK) -> Dat
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id: for each row of docs (doc_id, text)."""
-    own = cut(fingerprints(docs, shingle), "fingerprints")
+    # Narrow rows are gathered into few files: each file that is written starts processes of the executor.
+    own = cut(fingerprints(docs, shingle).hint("rebalance"), "fingerprints")
     nodes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     found = components(links(nodes.select("fp"), distance))
     placed = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))

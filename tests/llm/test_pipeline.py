@@ -5,7 +5,10 @@ from __future__ import annotations
 import base64
 import collections
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +126,17 @@ def test_fields_of_documents_stay(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet")
     assert corpus_pipeline.near_duplicates(spark, docs, tables).columns == docs.columns
     assert corpus_pipeline.mixture(spark, docs.where(F.col("doc_id") < 50), tables).columns == docs.columns
+
+
+def test_workers_take_few_times_their_batch():
+    words = [f"word{i}" for i in range(300)]
+    texts = [" ".join(words[k % 7 :]) + f" {k}" for k in range(4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    rules = lambda: quality_rules.judge_batches([batch], (np.zeros(quality_rules.DIMENSIONS), 0.0, 1.0, 0.0), True)
+    classifier = lambda: quality_gam._score_batches([batch], quality_gam.Additive(0.5), 0.3, True)
+    for stage in (rules, classifier):
+        tracemalloc.start()
+        assert sum(part.num_rows for part in stage()) in (0, len(texts))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 4 * batch.nbytes
