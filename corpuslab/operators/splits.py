@@ -4,18 +4,26 @@ from __future__ import annotations
 
 import datetime
 import json
+import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from corpuslab.functions.digests import md5_of
 from corpuslab.functions.draws import order_key
 from corpuslab.operators.corpus import majority_label
-from corpuslab.plans.scratch import append_line
+from corpuslab.plans.scratch import append_line, cut, drop
 
 FRACTIONS = {"train": 0.65, "val": 0.15, "test": 0.20}
 SEED = 20260101
+#: Digests of trials that a task makes, about, up to so many tasks.
+DIGESTS, PARTS = 5_000_000, 4096
 
 
 class SplitError(ValueError):
@@ -130,27 +138,139 @@ class SplitBundle:
         return shown.unionByName(hidden)
 
 
-def leakage_trials(rows: DataFrame, item: str, group: str, trials: int, test_fraction: float, extra: list[str] | None = None) -> DataFrame:
-    """trial, item, group, extra, leaked: the held-out rows of each random split, and whether their group is in training.
-
-    A row is held out in a trial when its place in the trial's permutation is beyond int((1 - f) n). Places are counted within ranges of the
-    permutation's key, of which each trial has 256, after the counts of the ranges before; no task holds a trial.
+def _bits(held: np.ndarray) -> list[pa.Array]:
+    """A row for each trial as words of 64 bits."""
+    trials, n = held.shape
+    raw = np.zeros((n, -(-trials // 64) * 8), dtype=np.uint8)
+    raw[:, : -(-trials // 8)] = np.packbits(held, axis=0, bitorder="little").T
+    return [pa.array(np.ascontiguousarray(w)) for w in raw.view("<i8").T]
+
+
+def _held(batch: pa.RecordBatch, trials: int, prefix: str = "__h") -> np.ndarray:
+    """The words of a batch as a row for each trial."""
+    words = np.column_stack([batch.column(f"{prefix}{i}").to_numpy() for i in range(-(-trials // 64))])
+    raw = np.ascontiguousarray(words.astype("<i8")).view(np.uint8)
+    return np.unpackbits(raw, axis=1, bitorder="little")[:, :trials].T
+
+
+def _marked(rows: DataFrame, item: str, trials: int, share: float, width: float, parts: int) -> DataFrame:
+    """rows with __id, with a bit for each trial in which their key is beyond the share and the width, and with the trials, the numbers and the
+    keys of those that are within the width of it."""
+    words = [f"__h{i}" for i in range(-(-trials // 64))]
+    least, most = (min(max(int(x * 2**64), 0), 2**64 - 1) for x in (share - width, share + width))
+    kept = [f for f in rows.schema.fields]
+    schema = T.StructType([*kept, T.StructField("__id", T.LongType()), *[T.StructField(w, T.LongType()) for w in words], *[T.StructField(k, T.ArrayType(t)) for k, t in (("__trial", T.IntegerType()), ("__high", T.LongType()), ("__low", T.LongType()))]])
+    names = schema.names
+    sign = np.uint64(1 << 63)  # so that signed numbers sort as unsigned ones do
+
+    def mark(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 10_000):
+                batch = whole.slice(at, 10_000)
+                held, near = np.zeros((trials, batch.num_rows), dtype=bool), []
+                for k, high, low in md5_of(list(range(trials)), batch.column(batch.num_columns - 1)):
+                    held[k] = high > np.uint64(most)
+                    own = np.flatnonzero((high >= np.uint64(least)) & ~held[k])
+                    near.append((own, np.full(len(own), k, dtype=np.int32), (high[own] ^ sign).view(np.int64), (low[own] ^ sign).view(np.int64)))
+                row, trial, high, low = (np.concatenate([x[i] for x in near]) for i in range(4))
+                order = np.argsort(row, kind="stable")
+                ends = pa.array(np.searchsorted(row[order], np.arange(batch.num_rows + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x[order])) for x in (trial, high, low)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *_bits(held), *lists], names)
+
+    numbered = rows.repartition(parts).withColumn("__id", F.monotonically_increasing_id()).withColumn("__text", F.coalesce(F.col(item).cast("string"), F.lit("")))
+    return numbered.mapInArrow(mark, schema)
+
+
+def _counted(rows: DataFrame, trials: int, keys: list[str], by: str | None = None) -> DataFrame:
+    """trial, keys, held, and with `by`, the prefix of other words, leaked: how often both bits are set."""
+    schema = T.StructType([T.StructField("trial", T.LongType()), *rows.select(*keys).schema.fields, T.StructField("held", T.LongType()), T.StructField("leaked", T.LongType())])
+
+    def count(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kind = np.zeros(batch.num_rows, dtype=np.int64)
+            for k in keys:
+                coded = batch.column(k).dictionary_encode(null_encoding="encode")
+                kind = np.unique(kind * len(coded.dictionary) + coded.indices.to_numpy(), return_inverse=True)[1]
+            _, first, which = np.unique(kind, return_index=True, return_inverse=True)
+            held = _held(batch, trials)
+            both = held & _held(batch, trials, by) if by else held
+            for at, i in enumerate(first.tolist()):
+                own = which == at
+                columns = [pa.array(np.arange(trials)), *[batch.column(k).take(pa.array([i] * trials)) for k in keys]]
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.array(x[:, own].sum(axis=1, dtype=np.int64)) for x in (held, both)]], schema.names)
+
+    words = [c for c in rows.columns if c.startswith(("__h", by or "__h")) and c[-1].isdigit()]
+    return rows.select(*keys, *words).mapInArrow(count, schema).groupBy("trial", *keys).agg(F.sum("held").alias("held"), F.sum("leaked").alias("leaked"))
+
+
+def held_out(rows: DataFrame, item: str, columns: list[str], trials: int, test_fraction: float) -> DataFrame:
+    """item, columns, and a bit for each trial, in words __h0 and on: whether the row is held out in the trial's random split.
+
+    A row is held out in a trial when its place in the trial's permutation is beyond int((1 - f) n). Places are those of digests, which spread
+    evenly, so the row at that place has a digest near 1 - f: each digest is made once, and only rows near that are put in order, some 6 sqrt(n)
+    in a trial. Whether the place is among them is counted, and if it isn't, more rows are. Rows of one item are told apart by a number.
     """
     n = rows.count()
-    cut = int((1 - test_fraction) * n)
-    extra = extra or []
-    t = rows.select(item, group, *extra).withColumn("trial", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trials - 1).cast("long"))))
-    t = t.withColumn("__key", order_key(F.col("trial"), F.col(item))).withColumn("__part", F.substring("__key", 1, 2))
-    counts = t.groupBy("trial", "__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.select("trial", "__part", (F.sum("__n").over(W.partitionBy("trial").orderBy("__part")) - F.col("__n")).alias("__before"), "__n")
-    # Whole ranges lie on one side of the cut, but for one of each trial.
-    t = t.join(before, ["trial", "__part"])
-    apart = t.where((F.col("__before") >= cut) | (F.col("__before") + F.col("__n") <= cut)).withColumn("held", F.col("__before") >= cut)
-    edge = t.where((F.col("__before") < cut) & (F.col("__before") + F.col("__n") > cut))
-    edge = edge.withColumn("held", F.row_number().over(W.partitionBy("trial", "__part").orderBy("__key", item)) + F.col("__before") > cut)
-    t = apart.unionByName(edge).select("trial", item, group, *extra, "held")
-    train = t.where("NOT held").select("trial", group).distinct().withColumn("leaked", F.lit(True))
-    return t.where("held").join(train, ["trial", group], "left").select("trial", item, group, *extra, F.coalesce("leaked", F.lit(False)).alias("leaked"))
+    cut_at = int((1 - test_fraction) * n)
+    share = cut_at / max(n, 1)
+    width = 8 * math.sqrt(max(share * (1 - share), 1 / max(n, 1)) / max(n, 1))
+    names = list(dict.fromkeys([item, *columns]))
+    parts = min(n * trials // DIGESTS + 1, PARTS)  # narrow files come in few parts
+    while True:
+        marked = cut(_marked(rows.select(*names), item, trials, share, width, parts), "trials")
+        beyond = _counted(marked, trials, []).select(F.col("trial").cast("int").alias("__t"), F.col("held").alias("beyond"))
+        near = marked.where(F.size("__trial") > 0).select("__id", F.explode(F.arrays_zip("__trial", "__high", "__low")).alias("x")).select("__id", "x.*")
+        placed = near.withColumn("rn", F.row_number().over(W.partitionBy("__trial").orderBy(F.desc("__high"), F.desc("__low"), F.desc("__id"))))
+        # The place is counted from the end: the first row that isn't held out, after n - cut that are.
+        last = placed.join(F.broadcast(beyond), F.col("__trial") == F.col("__t")).where(F.col("rn") + F.col("beyond") == n - cut_at + 1)
+        found = {r[0]: r[1:] for r in last.select("__trial", "__high", "__low", "__id").collect()}
+        if n == 0 or len(found) == trials or width >= 1:
+            break
+        drop(marked)
+        width *= 8
+
+    words = [f"__h{i}" for i in range(-(-trials // 64))]
+
+    def settle(batches):
+        lowest = (-(2**63), -(2**63), -1)
+        high, low, number = (np.array([found.get(k, lowest)[i] for k in range(trials)], dtype=np.int64) for i in range(3))
+        for batch in batches:
+            held, lists = _held(batch, trials).copy(), batch.column("__trial")
+            t, h, w = (batch.column(k).flatten().to_numpy() for k in ("__trial", "__high", "__low"))
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy())
+            own = batch.column("__id").to_numpy()[row]
+            over = (h > high[t]) | (h == high[t]) & ((w > low[t]) | (w == low[t]) & (own > number[t]))
+            held[t[over], row[over]] = 1
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in names], *_bits(held)], [*names, *words])
+
+    kinds = T.StructType([*marked.select(*names).schema.fields, *[T.StructField(w, T.LongType()) for w in words]])
+    return marked.mapInArrow(settle, kinds)
+
+
+def with_leaks(held: DataFrame, group: str) -> DataFrame:
+    """held_out's rows with words __l0 and on: the trials in which a row of their group is in training. Rows without a group are one group."""
+    words = [c for c in held.columns if c.startswith("__h")]
+    train = held.groupBy(F.col(group).alias("__g")).agg(*[F.bit_or(F.bitwise_not(w)).alias(f"__l{w[3:]}") for w in words])
+    return held.join(train, F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
+
+
+def leakage_counts(held: DataFrame, group: str, trials: int, extra: list[str] | None = None) -> DataFrame:
+    """trial, extra, held, leaked: of each trial's held-out rows their number, and that of those whose group is in training. held: of held_out."""
+    return _counted(with_leaks(held, group), trials, extra or [], "__l").where("held > 0")
+
+
+def leakage_trials(rows: DataFrame, item: str, group: str, trials: int, test_fraction: float, extra: list[str] | None = None) -> DataFrame:
+    """trial, item, group, extra, leaked: the held-out rows of each random split, and whether their group is in training."""
+    columns = list(dict.fromkeys([item, group, *(extra or [])]))
+    both = with_leaks(held_out(rows, item, columns, trials, test_fraction), group)
+    words = range(-(-trials // 64))
+    bits = lambda name: F.array(*[F.col(f"{name}{i}") for i in words])
+    t = both.select(*columns, bits("__h").alias("__h"), bits("__l").alias("__l"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trials - 1).cast("long"))).alias("trial"))
+    at = lambda name: F.getbit(F.get(name, F.floor(F.col("trial") / 64).cast("int")), (F.col("trial") % 64).cast("int")) == 1
+    return t.where(at("__h")).select("trial", *columns, at("__l").alias("leaked"))
 
 
 def expected_leakage(sizes: DataFrame, f: float, size: str = "s") -> Column:

@@ -121,9 +121,10 @@ def _(spark, sf):
 
 @query("aud5_two_level_leakage", sql("v_subject", body="").rstrip() + ", " + _TRIALS.format(g="lesion") + ", l2 AS (SELECT *, max((NOT held)::INT) OVER (PARTITION BY trial, patient) = 1 AS leaked FROM t) SELECT 'lesion' AS level, round(avg(x), 9) AS leaked FROM (SELECT avg(leaked::INT::DOUBLE) AS x FROM l WHERE held GROUP BY trial) UNION ALL SELECT 'patient', round(avg(x), 9) FROM (SELECT avg(leaked::INT::DOUBLE) AS x FROM l2 WHERE held GROUP BY trial)")
 def _(spark, sf):
+    held = S.held_out(V.v_subject(spark, sf), "item", ["lesion", "patient"], 200, 0.2)
+
     def level(name):
-        t = S.leakage_trials(V.v_subject(spark, sf), "item", name, 200, 0.2)
-        x = t.groupBy("trial").agg(F.avg(F.col("leaked").cast("double")).alias("x"))
+        x = S.leakage_counts(held, name, 200).select((F.col("leaked") / F.col("held")).alias("x"))
         return x.agg(F.round(F.avg("x"), 9).alias("leaked")).select(F.lit(name).alias("level"), "leaked")
 
     return level("lesion").unionByName(level("patient"))
