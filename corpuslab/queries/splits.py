@@ -132,8 +132,9 @@ def _(spark, sf):
 
 @query("aud7_leakage_by_class", sql("v_subject", body="").rstrip() + ", " + _TRIALS.format(g="lesion") + " SELECT dx, round(avg(x), 9) AS leaked, count(*) AS trials FROM (SELECT trial, dx, avg(leaked::INT::DOUBLE) AS x FROM l WHERE held GROUP BY 1, 2) GROUP BY 1")
 def _(spark, sf):
-    t = S.leakage_trials(V.v_subject(spark, sf), "item", "lesion", 200, 0.2, ["dx"])
-    return t.groupBy("trial", "dx").agg(F.avg(F.col("leaked").cast("double")).alias("x")).groupBy("dx").agg(F.round(F.avg("x"), 9).alias("leaked"), F.count(F.lit(1)).alias("trials"))
+    held = S.held_out(V.v_subject(spark, sf), "item", ["lesion", "dx"], 200, 0.2)
+    x = S.leakage_counts(held, "lesion", 200, ["dx"]).withColumn("x", F.col("leaked") / F.col("held"))
+    return x.groupBy("dx").agg(F.round(F.avg("x"), 9).alias("leaked"), F.count(F.lit(1)).alias("trials"))
 
 
 @query("aud14_expected_leakage", sql("v_subject", body="SELECT round(sum(s * (1 - 0.2::DOUBLE ** (s - 1))) / sum(s), 9) AS expected FROM (SELECT lesion, count(*) AS s FROM v_subject GROUP BY 1)"))
