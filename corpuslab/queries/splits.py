@@ -115,8 +115,8 @@ _TRIALS = "t AS (SELECT k AS trial, item, patient, lesion, dx, row_number() OVER
 @query("smp11_image_level_leakage", sql("v_subject", body="").rstrip() + ", " + _TRIALS.format(g="lesion") + " SELECT trial, count(*) AS held_out, round(avg(leaked::INT::DOUBLE), 9) AS leaked FROM l WHERE held GROUP BY 1")
 @query("jn4_semi_join_flags", sql("v_subject", body="").rstrip() + ", " + _TRIALS.format(g="lesion") + " SELECT trial, count(*) AS held_out, round(avg(leaked::INT::DOUBLE), 9) AS leaked FROM l WHERE held GROUP BY 1")
 def _(spark, sf):
-    t = S.leakage_trials(V.v_subject(spark, sf), "item", "lesion", 200, 0.2)
-    return t.groupBy("trial").agg(F.count(F.lit(1)).alias("held_out"), F.round(F.avg(F.col("leaked").cast("double")), 9).alias("leaked"))
+    held = S.held_out(V.v_subject(spark, sf), "item", ["lesion"], 200, 0.2)
+    return S.leakage_counts(held, "lesion", 200).select("trial", F.col("held").alias("held_out"), F.round(F.col("leaked") / F.col("held"), 9).alias("leaked"))
 
 
 @query("aud5_two_level_leakage", sql("v_subject", body="").rstrip() + ", " + _TRIALS.format(g="lesion") + ", l2 AS (SELECT *, max((NOT held)::INT) OVER (PARTITION BY trial, patient) = 1 AS leaked FROM t) SELECT 'lesion' AS level, round(avg(x), 9) AS leaked FROM (SELECT avg(leaked::INT::DOUBLE) AS x FROM l WHERE held GROUP BY trial) UNION ALL SELECT 'patient', round(avg(x), 9) FROM (SELECT avg(leaked::INT::DOUBLE) AS x FROM l2 WHERE held GROUP BY trial)")
