@@ -55,7 +55,7 @@ def test_empty_table(spark):
     assert splits.leakage_trials(d, "item", "grp", 3, 0.2).count() == 0
 
 
-@pytest.mark.parametrize("name", ["aud5_two_level_leakage", "aud7_leakage_by_class", "jn4_semi_join_flags"])
+@pytest.mark.parametrize("name", ["aud5_two_level_leakage", "aud7_leakage_by_class", "jn4_semi_join_flags", "smp11_image_level_leakage"])
 def test_rows_arent_repeated_for_each_trial(spark, sf, name):
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan
