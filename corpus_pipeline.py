@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's rows as Parquet to the shared folder and
 hands the table read back to the next. Models are fitted on the labelled documents of sf_dir; what a stage judges is all
-that its predecessor kept.
+that its predecessor kept. Stages are lazy, so those that pass texts to Python leave the session with small Arrow batches; run()
+sets them back.
 """
 
 from __future__ import annotations
@@ -12,22 +13,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.llm import bpe, mixing, quality_gam, quality_rules, simhash
-from corpuslab.llm.common import table
+from corpuslab.llm.common import few_rows, set_few_rows, table
 from corpuslab.plans.scratch import cut, drop
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
+    set_few_rows(spark)
     return quality_rules.keep_good(docs, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts to be good."""
+    set_few_rows(spark)
     return quality_gam.keep_good(docs, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest doc_id."""
+    set_few_rows(spark)
     return simhash.drop_copies(docs)
 
 
@@ -60,7 +64,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        before, docs = docs, cut(stage(spark, docs, sf_dir), name.replace(" ", "_").lower())
-        drop(before)  # a stage's own table; the documents stay
+    with few_rows(spark):
+        for name, stage in STAGES:
+            before, docs = docs, cut(stage(spark, docs, sf_dir), name.replace(" ", "_").lower())
+            drop(before)  # a stage's own table; the documents stay
     return docs

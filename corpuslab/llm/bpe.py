@@ -24,7 +24,6 @@ an empty table gives an empty result; repeated rows are encoded alike; of the ot
 from __future__ import annotations
 
 import base64
-import contextlib
 import io
 import struct
 import zlib
@@ -36,15 +35,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuslab.llm.common import lean
+from corpuslab.llm.common import few_rows, lean
 from corpuslab.plans.scratch import cut
 
 #: Bytes of words in a block, about.
 BLOCK = 48 << 20
 #: Words of blocks that meet in a bucket, on average; the number of buckets beyond which they grow, and how far.
 BUCKET, BUCKETS, MOST = 400_000, 4096, 2_000_000
-#: Documents that pass to Python at once.
-ROWS = 1000
 #: How hard blocks are compressed.
 LEVEL = 6
 #: Words whose ids are gathered at once.
@@ -263,18 +260,6 @@ def slices(lists: pa.ListArray, limit: int):
     return list(zip(cuts[:-1], cuts[1:]))
 
 
-@contextlib.contextmanager
-def few_rows(spark: SparkSession, rows: int = ROWS):
-    """What is run within passes at most this many rows to Python at once: texts take their room in both processes."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, min(rows, int(before)) if int(before) > 0 else rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def blocks(docs: DataFrame, tokenizer: Tokenizer, keep: list[str], limit: int = BLOCK) -> DataFrame:
     """block, n, rows, places, words: n distinct words, the most frequent first, the places of a block's words among them, and rows, the
     columns to keep with the number of each document's words; all packed."""

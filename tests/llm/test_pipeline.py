@@ -140,3 +140,19 @@ def test_workers_take_few_times_their_batch():
         most = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert most < 4 * batch.nbytes
+
+
+def test_texts_pass_in_small_batches(spark, tables):
+    """A stage is lazy: the batches are small when its rows are written, and the session's own again after run()."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for stage in (corpus_pipeline.rules, corpus_pipeline.classifier, corpus_pipeline.near_duplicates):
+            spark.conf.set(key, "10000")
+            stage(spark, spark.read.parquet(f"{tables}/documents.parquet"), tables)
+            assert int(spark.conf.get(key)) <= 1000
+        spark.conf.set(key, "10000")
+        corpus_pipeline.run(spark, tables)
+        assert spark.conf.get(key) == "10000"
+    finally:
+        spark.conf.set(key, before)
