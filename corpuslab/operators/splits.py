@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from corpuslab.functions.digests import md5_of
+from corpuslab.functions.digests import STEP, md5_of
 from corpuslab.functions.draws import order_key
 from corpuslab.operators.corpus import majority_label
 from corpuslab.plans.scratch import append_line, cut, drop
@@ -153,6 +153,21 @@ def _held(batch: pa.RecordBatch, trials: int, prefix: str = "__h") -> np.ndarray
     return np.unpackbits(raw, axis=1, bitorder="little")[:, :trials].T
 
 
+def _gathered(batches, most: int):
+    """The rows of batches in larger ones, of so many rows at most: Spark's hold 10,000, unless it is told otherwise."""
+    kept, n = [], 0
+    for whole in batches:
+        for at in range(0, whole.num_rows, most):
+            batch = whole.slice(at, most)
+            if n + batch.num_rows > most:
+                yield pa.concat_batches(kept)
+                kept, n = [], 0
+            kept.append(batch)
+            n += batch.num_rows
+    if kept:
+        yield pa.concat_batches(kept)
+
+
 def _marked(rows: DataFrame, item: str, trials: int, share: float, width: float, parts: int) -> DataFrame:
     """rows with __id, with a bit for each trial in which their key is beyond the share and the width, and with the trials, the numbers and the
     keys of those that are within the width of it."""
@@ -164,19 +179,17 @@ def _marked(rows: DataFrame, item: str, trials: int, share: float, width: float,
     sign = np.uint64(1 << 63)  # so that signed numbers sort as unsigned ones do
 
     def mark(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 10_000):
-                batch = whole.slice(at, 10_000)
-                held, near = np.zeros((trials, batch.num_rows), dtype=bool), []
-                for k, high, low in md5_of(list(range(trials)), batch.column(batch.num_columns - 1)):
-                    held[k] = high > np.uint64(most)
-                    own = np.flatnonzero((high >= np.uint64(least)) & ~held[k])
-                    near.append((own, np.full(len(own), k, dtype=np.int32), (high[own] ^ sign).view(np.int64), (low[own] ^ sign).view(np.int64)))
-                row, trial, high, low = (np.concatenate([x[i] for x in near]) for i in range(4))
-                order = np.argsort(row, kind="stable")
-                ends = pa.array(np.searchsorted(row[order], np.arange(batch.num_rows + 1)).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(ends, pa.array(x[order])) for x in (trial, high, low)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *_bits(held), *lists], names)
+        for batch in _gathered(batches, STEP):
+            held, near = np.zeros((trials, batch.num_rows), dtype=bool), []
+            for k, high, low in md5_of(list(range(trials)), batch.column(batch.num_columns - 1)):
+                held[k] = high > np.uint64(most)
+                own = np.flatnonzero((high >= np.uint64(least)) & ~held[k])
+                near.append((own, np.full(len(own), k, dtype=np.int32), (high[own] ^ sign).view(np.int64), (low[own] ^ sign).view(np.int64)))
+            row, trial, high, low = (np.concatenate([x[i] for x in near]) for i in range(4))
+            order = np.argsort(row, kind="stable")
+            ends = pa.array(np.searchsorted(row[order], np.arange(batch.num_rows + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x[order])) for x in (trial, high, low)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *_bits(held), *lists], names)
 
     numbered = rows.repartition(parts).withColumn("__id", F.monotonically_increasing_id()).withColumn("__text", F.coalesce(F.col(item).cast("string"), F.lit("")))
     return numbered.mapInArrow(mark, schema)

@@ -8,6 +8,7 @@ import hashlib
 import pyarrow as pa
 import pytest
 
+from corpuslab.functions import digests
 from corpuslab.functions.digests import md5_of
 from corpuslab.operators import splits
 from corpuslab.registry import QUERIES
@@ -59,3 +60,18 @@ def test_empty_table(spark):
 def test_rows_arent_repeated_for_each_trial(spark, sf, name):
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan
+
+
+def test_digests_of_a_batch_take_one_pass_for_each_seed(monkeypatch):
+    """Calls on short arrays cost more than their work: Spark's batches are put together, and none leaves a short rest."""
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(at, at + n))], ["x"]) for at, n in ((0, 10_000), (10_000, 10_000), (20_000, 0), (20_000, 5_000), (25_000, 90_000))]
+    got = list(splits._gathered(batches, 32_768))
+    assert [b.num_rows for b in got] == [25_000, 32_768, 32_768, 24_464]
+    assert pa.Table.from_batches(got)["x"].to_pylist() == list(range(115_000))
+    assert list(splits._gathered([], 10)) == list(splits._gathered(batches[2:3], 10)) == []
+    calls, block = [], digests._block
+    monkeypatch.setattr(digests, "_block", lambda words, n: calls.append(n) or block(words, n))
+    texts = [str(i) for i in range(digests.STEP + 5)]
+    assert len(list(digests.md5_of([7, 123], pa.array(texts[:30_000])))) == 2 and calls == [30_000] * 2
+    for seed, high, low in digests.md5_of([31], pa.array(texts)):
+        assert [f"{int(h):016x}{int(x):016x}" for h, x in zip(high[-9:], low[-9:])] == [hashlib.md5(f"{seed}|{t}".encode()).hexdigest() for t in texts[-9:]]
