@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import json
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -219,15 +220,15 @@ def _counted(rows: DataFrame, trials: int, keys: list[str], by: str | None = Non
     return rows.select(*keys, *words).mapInArrow(count, schema).groupBy("trial", *keys).agg(F.sum("held").alias("held"), F.sum("leaked").alias("leaked"))
 
 
-def held_out(rows: DataFrame, item: str, columns: list[str], trials: int, test_fraction: float) -> DataFrame:
+def held_out(rows: DataFrame, item: str, columns: list[str], trials: int, test_fraction: float, whole: Callable[[float], int] = int) -> DataFrame:
     """item, columns, and a bit for each trial, in words __h0 and on: whether the row is held out in the trial's random split.
 
-    A row is held out in a trial when its place in the trial's permutation is beyond int((1 - f) n). Places are those of digests, which spread
+    A row is held out in a trial when its place in the trial's permutation is beyond whole((1 - f) n). Places are those of digests, which spread
     evenly, so the row at that place has a digest near 1 - f: each digest is made once, and only rows near that are put in order, some 6 sqrt(n)
     in a trial. Whether the place is among them is counted, and if it isn't, more rows are. Rows of one item are told apart by a number.
     """
     n = rows.count()
-    cut_at = int((1 - test_fraction) * n)
+    cut_at = whole((1 - test_fraction) * n)
     share = cut_at / max(n, 1)
     width = 8 * math.sqrt(max(share * (1 - share), 1 / max(n, 1)) / max(n, 1))
     names = list(dict.fromkeys([item, *columns]))

@@ -109,19 +109,20 @@ def _(spark, sf):
     return X.permutation(d, F.col("draw"), ["draw", "label"]).where("rn < 20").select("draw", "ord")
 
 
+#: A cast rounds in SQL, so the queries do.
 _TRIALS = "t AS (SELECT k AS trial, item, patient, lesion, dx, row_number() OVER (PARTITION BY k ORDER BY md5(concat_ws('|', k, item)), item) > (0.8::DOUBLE * (SELECT count(*) FROM v_subject))::INT AS held FROM v_subject, range(200) r(k)), l AS (SELECT *, max((NOT held)::INT) OVER (PARTITION BY trial, {g}) = 1 AS leaked FROM t)"
 
 
 @query("smp11_image_level_leakage", sql("v_subject", body="").rstrip() + ", " + _TRIALS.format(g="lesion") + " SELECT trial, count(*) AS held_out, round(avg(leaked::INT::DOUBLE), 9) AS leaked FROM l WHERE held GROUP BY 1")
 @query("jn4_semi_join_flags", sql("v_subject", body="").rstrip() + ", " + _TRIALS.format(g="lesion") + " SELECT trial, count(*) AS held_out, round(avg(leaked::INT::DOUBLE), 9) AS leaked FROM l WHERE held GROUP BY 1")
 def _(spark, sf):
-    held = S.held_out(V.v_subject(spark, sf), "item", ["lesion"], 200, 0.2)
+    held = S.held_out(V.v_subject(spark, sf), "item", ["lesion"], 200, 0.2, round)
     return S.leakage_counts(held, "lesion", 200).select("trial", F.col("held").alias("held_out"), F.round(F.col("leaked") / F.col("held"), 9).alias("leaked"))
 
 
 @query("aud5_two_level_leakage", sql("v_subject", body="").rstrip() + ", " + _TRIALS.format(g="lesion") + ", l2 AS (SELECT *, max((NOT held)::INT) OVER (PARTITION BY trial, patient) = 1 AS leaked FROM t) SELECT 'lesion' AS level, round(avg(x), 9) AS leaked FROM (SELECT avg(leaked::INT::DOUBLE) AS x FROM l WHERE held GROUP BY trial) UNION ALL SELECT 'patient', round(avg(x), 9) FROM (SELECT avg(leaked::INT::DOUBLE) AS x FROM l2 WHERE held GROUP BY trial)")
 def _(spark, sf):
-    held = S.held_out(V.v_subject(spark, sf), "item", ["lesion", "patient"], 200, 0.2)
+    held = S.held_out(V.v_subject(spark, sf), "item", ["lesion", "patient"], 200, 0.2, round)
 
     def level(name):
         x = S.leakage_counts(held, name, 200).select((F.col("leaked") / F.col("held")).alias("x"))
@@ -132,7 +133,7 @@ def _(spark, sf):
 
 @query("aud7_leakage_by_class", sql("v_subject", body="").rstrip() + ", " + _TRIALS.format(g="lesion") + " SELECT dx, round(avg(x), 9) AS leaked, count(*) AS trials FROM (SELECT trial, dx, avg(leaked::INT::DOUBLE) AS x FROM l WHERE held GROUP BY 1, 2) GROUP BY 1")
 def _(spark, sf):
-    held = S.held_out(V.v_subject(spark, sf), "item", ["lesion", "dx"], 200, 0.2)
+    held = S.held_out(V.v_subject(spark, sf), "item", ["lesion", "dx"], 200, 0.2, round)
     x = S.leakage_counts(held, "lesion", 200, ["dx"]).withColumn("x", F.col("leaked") / F.col("held"))
     return x.groupBy("dx").agg(F.round(F.avg("x"), 9).alias("leaked"), F.count(F.lit(1)).alias("trials"))
 

@@ -5,13 +5,16 @@ from __future__ import annotations
 import collections
 import hashlib
 
+import duckdb
 import pyarrow as pa
 import pytest
 
 from corpuslab.functions import digests
 from corpuslab.functions.digests import md5_of
 from corpuslab.operators import splits
-from corpuslab.registry import QUERIES
+from corpuslab.queries import views as V
+from corpuslab.registry import ORACLES, QUERIES
+from tests.conftest import SF
 
 
 def plain(rows, trials, f):
@@ -75,3 +78,14 @@ def test_digests_of_a_batch_take_one_pass_for_each_seed(monkeypatch):
     assert len(list(digests.md5_of([7, 123], pa.array(texts[:30_000])))) == 2 and calls == [30_000] * 2
     for seed, high, low in digests.md5_of([31], pa.array(texts)):
         assert [f"{int(h):016x}{int(x):016x}" for h, x in zip(high[-9:], low[-9:])] == [hashlib.md5(f"{seed}|{t}".encode()).hexdigest() for t in texts[-9:]]
+
+
+@pytest.mark.parametrize("name", ["aud5_two_level_leakage", "aud7_leakage_by_class", "jn4_semi_join_flags", "smp11_image_level_leakage"])
+@pytest.mark.parametrize("n", [0, 1, 1002])
+def test_any_number_of_rows_is_cut_as_in_sql(spark, tmp_path, name, n):
+    V.table(spark, SF, "orders").limit(n).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    want = con.sql(ORACLES[name])
+    df = QUERIES[name](spark, str(tmp_path)).select(*want.columns)
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(want.fetchall(), key=str)
